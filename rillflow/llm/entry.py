@@ -40,6 +40,18 @@ def op8_toxicity_subword_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm import sp_dropout
+
+    return sp_dropout.encode(read_table(spark, sf_dir, "documents"))
+
+
+def op10_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm import fuzzy
+
+    return fuzzy.compared(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
