@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import read_table
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm import warc
+    from rillflow.llm.common import shared_dir
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(read_table(spark, sf_dir, "pages"), path, segment=16 * 1024)
+    return warc.catalogue(spark, path)
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillflow.llm import simhash
 
