@@ -20,6 +20,18 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.catalogue(spark, path)
 
 
+def op2_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm import url_filter
+
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm import html_crf
+
+    return html_crf.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillflow.llm import simhash
 
@@ -67,4 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For what SQL can express; the tests hold the others against brute force,
+    exact round trips or held-out labels."""
+    from rillflow.llm import url_filter
+
+    return {"op2_url_vocabulary": url_filter.sql()}
