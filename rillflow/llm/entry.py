@@ -45,6 +45,12 @@ def op5_benchmark_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm import backoff_lm
+
+    return backoff_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillflow.llm import secrets
 
@@ -81,6 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """For what SQL can express; the tests hold the others against brute force,
     exact round trips or held-out labels."""
-    from rillflow.llm import url_filter
+    from rillflow.llm import backoff_lm, url_filter
 
-    return {"op2_url_vocabulary": url_filter.sql()}
+    return {"op2_url_vocabulary": url_filter.sql(), "op6_backoff_scores": backoff_lm.sql()}
