@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import cut, parts, text_of
 
 WINDOW, LEAST, LENGTH = 7, 3, 64
+MOST = 256  # characters of a signature; of a text with more boundaries (such as one letter over and over) the last stands for the rest
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -41,9 +42,9 @@ def rolling(data: bytes) -> np.ndarray:
 
 def signature(data: bytes, h: np.ndarray, block: int) -> str:
     """A character for each chunk; the last holds what follows the last boundary,
-    if anything does. All chunks count, however many."""
+    if anything does. The whole text counts."""
     ends = np.flatnonzero(h % np.uint32(block) == block - 1) + 1
-    edges = [0, *ends.tolist()]
+    edges = [0, *ends[: MOST - 1].tolist()]
     if edges[-1] < len(data):
         edges.append(len(data))
     return "".join(SYMBOLS[xxhash.xxh32_intdigest(data[a:b]) & 63] for a, b in zip(edges, edges[1:], strict=False))

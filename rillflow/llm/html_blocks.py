@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object"}
@@ -22,6 +23,7 @@ BLOCK = {
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "button", "option", "figcaption", "caption"}
 #: An element that begins closes an open one of these, up to a boundary.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+DEPTH = 256  # innermost elements around a block that are looked at
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 QUOTED_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 LABELS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -54,6 +56,7 @@ class _Scan:
     inline: int = 0
     links: int = 0
     count: int = 0
+    open: Counter = field(default_factory=Counter)  # of each tag on the stack
 
     def text(self, raw: str) -> None:
         if raw:
@@ -65,9 +68,10 @@ class _Scan:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                blocks = [e for e in self.stack if e.tag in BLOCK]
+                near = self.stack[-DEPTH:]
+                blocks = [e for e in near if e.tag in BLOCK]
                 path = tuple(e.tag for e in blocks)
-                labels = tuple(dict.fromkeys(x for e in self.stack for x in e.labels))
+                labels = tuple(dict.fromkeys(x for e in near for x in e.labels))
                 around = blocks[:-1] if path and path[-1] in LEAF else blocks
                 self.found.append(Block(text, path, labels, around[-1].number if around else 0, min(self.linked, len(text)), self.inline))
             self.parts = []
@@ -76,9 +80,12 @@ class _Scan:
     def pop_to(self, at: int) -> None:
         for e in self.stack[at:]:
             self.links -= e.tag == "a"
+            self.open[e.tag] -= 1
         del self.stack[at:]
 
     def close(self, tags: set[str], within: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag in tags:
                 self.pop_to(at)
@@ -103,11 +110,14 @@ class _Scan:
         labels = tuple(t for m in LABELS.findall(attributes) for x in m if x for t in TOKEN.findall(x.lower())) if "=" in attributes else ()
         self.count += 1
         self.stack.append(_Open(tag, labels, self.count))
+        self.open[tag] += 1
         self.links += tag == "a"
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag == tag:
                 self.pop_to(at)

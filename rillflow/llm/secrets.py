@@ -205,12 +205,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.aggregate(all_spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
     new = F.when(F.col("text").isNotNull(), let(spans, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(text)))
+    made = "_new"
+    while made in docs.columns:
+        made += "_"
     columns = []
     for name, kind in docs.dtypes:
         if name == "text":
-            columns.append(F.col("_new").alias("text"))
+            columns.append(F.col(made).alias("text"))
         elif name == "n_chars":
-            columns.append(F.coalesce(F.length("_new"), F.col("n_chars")).cast(kind).alias("n_chars"))
+            columns.append(F.coalesce(F.length(made), F.col("n_chars")).cast(kind).alias("n_chars"))
         else:
             columns.append(F.col(f"`{name}`"))
-    return docs.withColumn("_new", new).select(*columns)
+    return docs.withColumn(made, new).select(*columns)
