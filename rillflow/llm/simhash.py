@@ -10,7 +10,7 @@ shards are built and searched level by level as one forest in numpy.
 Shards. For a small radius r, the bits are cut into r + 2 blocks; two fingerprints
 within r bits agree in two blocks at least, so that a shard for each pair of
 blocks loses no link. For a large radius (near copies of similarity 0.8 differ in
-10 to 14 bits) that would take too many shards; there, bands of min-hashes of the
+5 to 14 bits) that would take too many shards; there, bands of min-hashes of the
 same shingles deal texts to shards, and a link also needs the wanted similarity,
 estimated from 128 min-hashes.
 
@@ -35,6 +35,7 @@ from rillflow.llm.common import MASK64, as_long, connected_components, cut, mix6
 
 SEED = 42
 SKETCH = 128  # min-hashes of a text's sketch
+ERROR = 0.035  # the standard error of a similarity of 0.8 estimated from them
 BAND_ROWS, BANDS = 2, 8  # a pair of similarity 0.8 shares no band with probability (1 - 0.64) ** 8 = 0.0003
 
 
@@ -268,8 +269,9 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
 
     radius: bits in which linked fingerprints differ at most. Without similarity,
     no link is lost. With it, links also need that Jaccard similarity of shingle
-    sets (estimated with a standard error of 0.035, of which the threshold is
-    lowered by one), and radius may be large.
+    sets, and radius may be large; it is estimated with a standard error of 0.035,
+    and the threshold is lowered by two of these, so that few pairs that reach it
+    are missed.
 
     Null or empty texts have fingerprint zero and link like any other. Rows that
     repeat an id share its component; a null id is never a component's name while
@@ -283,14 +285,14 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
         key = F.xxhash64("body", "fp")
         items = prints.groupBy(key.alias("item")).agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     items = cut(items)
-    roots = connected_components(links(items, radius, None if similarity is None else similarity - 0.035))
+    roots = connected_components(links(items, radius, None if similarity is None else similarity - 2 * ERROR))
     named = items.join(roots, items["item"] == roots["node"], "left").select("item", "least", F.coalesce("root", "item").alias("root"))
     linked = named.groupBy("root").agg(F.min("least").alias("component"))
     named = cut(named.join(linked, "root").select("item", "component"))
     return prints.withColumn("item", key).join(named, "item").select("id", "fp", "component")
 
 
-def dedup(docs: DataFrame, words: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, words: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each group, the document with the
     smallest doc_id stays. Rows that repeat a doc_id are one document and stay or
     go together; rows without doc_id go if their group has a document with one,
