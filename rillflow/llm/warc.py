@@ -195,7 +195,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     named = ["record_id", "type", "uri", "key", "digest", "refers_to", "refers_to_key"]
     whole = records.where("number is null").select(*named, "block", F.lit(None).cast("string").alias("gap"))
     piece = F.struct("number", "block", "total", *named)
-    joined = records.where("number is not null").groupBy(F.coalesce("origin", "record_id").alias("of")).agg(F.array_sort(F.array_distinct(F.collect_list(piece))).alias("p"))
+    joined = records.where("number is not null").groupBy(F.coalesce("origin", "record_id").alias("of")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    joined = joined.withColumn("p", F.expr("filter(p, (x, i) -> i = 0 or x.number <> p[i - 1].number)"))
     block = F.expr("aggregate(p, cast('' as binary), (acc, x) -> concat(acc, x.block))")
     total = F.expr("aggregate(p, cast(null as bigint), (acc, x) -> coalesce(x.total, acc))")
     gap = F.when(F.expr("exists(transform(p, (x, i) -> x.number <> i + 1), y -> y)"), "segments are missing").when(F.col("total").isNull() | (F.length("block") != F.col("total")), "the total length differs")
