@@ -39,9 +39,9 @@ class Settings:
     min_n: int = 3
     max_n: int = 5
     min_texts: int = 12
-    kept: int = 2500
+    kept: int = 1500
     epochs: int = 15
-    epochs_again: int = 40
+    epochs_again: int = 70
     rate: float = 10.0
     decay: float = 1e-3
     seed: int = 7
