@@ -47,7 +47,7 @@ class StateStore:
         self.staged, self._run = {}, f"{self.version + 1}-{uuid.uuid4().hex[:8]}"
 
     def _write(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
-        at = f"{self.path}/{name}/{self._run}"
+        at = f"{self.path}/tables/{name}/{self._run}"
         df.write.mode("overwrite").parquet(at)
         return at, self.spark.read.schema(df.schema).parquet(at)
 
@@ -78,7 +78,7 @@ class StateStore:
         stream.close()
         if not self._fs.rename(temporary, self._path(f"{self.path}/manifest-{version:012d}.json")):
             raise RuntimeError(f"version {version} exists already")
-        self._fs.delete(self._path(f"{self.path}/tick"), True)
+        self._fs.delete(self._path(f"{self.path}/tables/tick"), True)
         self._forget(version)
 
     def _forget(self, version: int) -> None:
@@ -92,8 +92,8 @@ class StateStore:
             used |= {*m["tables"].values(), m["output"]}
         for n in names[: -self.keep]:
             self._fs.delete(self._path(f"{self.path}/{n}"), False)
-        for f in self._fs.globStatus(self._path(f"{self.path}/*/*")) or []:
-            at = f"{self.path}/{f.getPath().getParent().getName()}/{f.getPath().getName()}"
+        for f in self._fs.globStatus(self._path(f"{self.path}/tables/*/*")) or []:
+            at = f"{self.path}/tables/{f.getPath().getParent().getName()}/{f.getPath().getName()}"
             if f.isDirectory() and at not in used and not at.endswith(self._run):
                 self._fs.delete(f.getPath(), True)
 
