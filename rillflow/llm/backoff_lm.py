@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, parts, per_batch
@@ -108,11 +108,16 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, size: int = VOCABULA
     counts = spark.createDataFrame([(i, n) for i, n in enumerate(unigrams)], "entry long, count long")
     n_parts = parts(spark)
     dealt = bigrams(docs, entries).repartition(n_parts, "key")
-    source = dealt if same else bigrams(corpus, entries).repartition(n_parts, "key")
-    table = source.groupBy("key").agg(F.sum("n").alias("both"))
+    if same:
+        # one deal and one sort give each bigram its count: two branches of a join
+        # would deal the same rows twice, as the planner prunes one of them
+        joined = dealt.withColumn("both", F.sum("n").over(Window.partitionBy("key")))
+    else:
+        table = bigrams(corpus, entries).groupBy("key").agg(F.sum("n").alias("both"))
+        joined = dealt.join(table, "key", "left")
     first = counts.select(F.col("entry").alias("a"), F.col("count").alias("count_a"))
     second = counts.select(F.col("entry").alias("b"), F.col("count").alias("count_b"))
-    joined = dealt.join(table, "key", "left").select("row", "doc_id", "n", (F.col("key") >= 0).alias("some"), F.shiftright("key", 32).alias("a"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), F.coalesce("both", F.lit(0)).alias("both"))
+    joined = joined.select("row", "doc_id", "n", (F.col("key") >= 0).alias("some"), F.shiftright("key", 32).alias("a"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), F.coalesce("both", F.lit(0)).alias("both"))
     joined = joined.join(F.broadcast(first), "a", "left").join(F.broadcast(second), "b", "left")
     seen = (F.col("both") >= cutoff) & (F.col("count_a") > 0)
     value = F.when(seen, F.col("both") / F.col("count_a")).otherwise(F.lit(alpha) * F.greatest("count_b", F.lit(1)) / F.lit(max(total, 1)))
