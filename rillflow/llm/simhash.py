@@ -10,7 +10,7 @@ shards are built and searched level by level as one forest in numpy.
 Shards. For a small radius r, the bits are cut into r + 2 blocks; two fingerprints
 within r bits agree in two blocks at least, so that a shard for each pair of
 blocks loses no link. For a large radius (near copies of similarity 0.8 differ in
-5 to 14 bits) that would take too many shards; there, bands of min-hashes of the
+5 to 17 bits) that would take too many shards; there, bands of min-hashes of the
 same shingles deal texts to shards, and a link also needs the wanted similarity,
 estimated from 128 min-hashes.
 
@@ -292,7 +292,7 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     return prints.withColumn("item", key).join(named, "item").select("id", "fp", "component")
 
 
-def dedup(docs: DataFrame, words: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, words: int = 5, radius: int = 20, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each group, the document with the
     smallest doc_id stays. Rows that repeat a doc_id are one document and stay or
     go together; rows without doc_id go if their group has a document with one,
