@@ -126,6 +126,8 @@ class Delta:
                 partition = [f"__g{i}" for i in range(len(keys))]
             case N.Over() | N.GroupsFrame() | N.TopK():
                 partition = list(node.partition)
+            case N.GroupMap():
+                partition = list(node.keys)
             case N.Distinct():
                 partition = columns(delta)
             case N.Limit():

@@ -101,6 +101,18 @@ class GroupAgg(Node):
     aggs: tuple[Agg, ...]
 
 
+@dataclass(frozen=True)
+class GroupMap(Node):
+    """An aggregate of one's own: apply takes a group's rows as a pandas frame, each
+    as often as it counts, and returns result rows of the given schema. A group is
+    one task's; for large ones use aggregates that merge."""
+
+    input: Node
+    keys: tuple[str, ...]
+    apply: Callable
+    schema: str
+
+
 @dataclass(frozen=True)
 class TimeWindow(Node):
     """Adds __window_start and __window_end (milliseconds, end exclusive) to the keys

@@ -24,6 +24,9 @@ def unary(node: N.Node, df: DataFrame) -> DataFrame:
             return zset.distinct(df)
         case N.GroupAgg():
             return aggregate.aggregate(df, node.keys, node.aggs)
+        case N.GroupMap():
+            rows = zset.expand(df).drop(WEIGHT)
+            return weighted(rows.groupBy(*[col(k) for k in node.keys]).applyInPandas(node.apply, node.schema))
         case N.TimeWindow():
             return timewindow.windowed(df, node.kind, node.time, node.size, node.slide, node.keys, node.aggs)
         case N.Over():

@@ -117,3 +117,16 @@ def test_plan_nodes(spark):
     doubled = N.Map(N.Scan("t"), lambda df: df.withColumn("v", df["v"] * 2))
     assert sorted(map(tuple, view(doubled, {"t": t}).collect())) == [("a", 2), ("a", 2), ("b", 4)]
     assert view(N.Limit(N.Sort(N.Scan("t"), ("k desc",)), 2, 1), {"t": t}).count() == 2
+
+
+def middle(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "median": [pdf["v"].median()]})
+
+
+def test_an_aggregate_of_ones_own(spark, tmp_path):
+    q = IncrementalQuery(spark, N.GroupMap(N.Scan("t"), ("k",), middle, "k string, median double"), {"t": spark.createDataFrame([], "k string, v long").schema}, str(tmp_path / "q"))
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v long, __count long")
+    assert bag(q.tick({"t": rows(("a", 1, 1), ("a", 3, 1), ("b", 5, 2))})) == [("('a', 2.0)", 1), ("('b', 5.0)", 1)]
+    assert bag(q.tick({"t": rows(("a", 3, -1), ("a", 9, 2))})) == [("('a', 2.0)", -1), ("('a', 9.0)", 1)]
