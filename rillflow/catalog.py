@@ -77,7 +77,7 @@ SAME: dict[str, tuple[tuple[str, ...], str]] = {
     "over_total": (("orders",), "select o_orderkey, count(*) over (partition by o_custkey) as n, max(o_totalprice) over (partition by o_custkey) as top from orders"),
     "frame_rows": (("orders",), "select o_orderkey, cast(sum(cast(o_totalprice as decimal(18,2))) over (partition by o_custkey order by o_orderkey rows between 2 preceding and 1 following) as double) as s from orders"),
     "frame_range": (("lineitem",), "select l_orderkey, l_linenumber, cast(sum(cast(l_quantity as decimal(18,2))) over (partition by l_orderkey order by l_linenumber range between 1 preceding and current row) as double) as s from lineitem"),
-    "rank_functions": (("orders",), "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn, rank() over (partition by o_custkey order by o_orderpriority) as r, dense_rank() over (partition by o_custkey order by o_orderpriority) as d, ntile(4) over (partition by o_custkey order by o_orderkey) as q from orders"),
+    "rank_functions": (("orders",), "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as rn, cast(rank() over (partition by o_custkey order by o_orderpriority) as bigint) as r, cast(dense_rank() over (partition by o_custkey order by o_orderpriority) as bigint) as d, cast(ntile(4) over (partition by o_custkey order by o_orderkey) as bigint) as q from orders"),
     "rank_shares": (("orders",), "select o_orderkey, round(percent_rank() over (partition by o_custkey order by o_totalprice), 9) as p, round(cume_dist() over (partition by o_custkey order by o_totalprice), 9) as c from orders"),
     "lead_first_last_nth": (("orders",), "select o_orderkey, lead(o_totalprice) over (partition by o_custkey order by o_orderkey) as nxt, first_value(o_totalprice) over (partition by o_custkey order by o_orderkey) as f, last_value(o_totalprice) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as l, nth_value(o_totalprice, 2) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following) as n2 from orders"),
     "sort_limit_offset": (("orders",), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 10"),
