@@ -33,7 +33,10 @@ def words(text: bytes) -> list[bytes]:
 
 def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") -> tuple[list[tuple[bytes, int]], int, int]:
     """(the most frequent words with their counts, number of words, of texts with
-    words), counted over all rows; equal counts by the words' bytes."""
+    words), counted over all rows. The words are those whose count reaches a bound:
+    the least number of four significant binary digits that at most `size` words
+    reach. So no ties are cut, and besides the words only the number of words for
+    each such bound comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
@@ -55,8 +58,16 @@ def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") ->
     counts = cut(partial.groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.where(F.length("word") > 0).agg(F.sum("n")).first()[0] or 0
     texts = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(size).collect()
-    return [(bytes(r["word"]), r["n"]) for r in top], total, texts
+    low = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 4, 0)), greatest(length(bin(n)) - 4, 0))")
+    sizes = {r["low"]: r["words"] for r in counts.where(F.length("word") > 0).groupBy(low.alias("low")).agg(F.count("*").alias("words")).collect()}
+    reach, bound = 0, None
+    for at in sorted(sizes, reverse=True):
+        reach += sizes[at]
+        if reach > size:
+            break
+        bound = at
+    top = [] if bound is None else counts.where((F.length("word") > 0) & (F.col("n") >= bound)).collect()  # at most size words
+    return sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0])), total, texts
 
 
 def bigrams(docs: DataFrame, entries: list[bytes], text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -132,7 +143,9 @@ def sql(size: int = VOCABULARY, alpha: float = ALPHA, cutoff: int = CUTOFF) -> s
 with t as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
 tokens as (select r, unnest(w) word, generate_subscripts(w, 1) i from t),
 counted as (select word, count(*) n from tokens group by word),
-top as (select word, n, row_number() over (order by n desc, encode(word)) + {FIRST - 1} entry from counted qualify row_number() over (order by n desc, encode(word)) <= {size}),
+lows as (select (n >> greatest(length(bin(n)) - 4, 0)::bigint) << greatest(length(bin(n)) - 4, 0)::bigint low, count(*) words from counted group by 1),
+bound as (select min(low) least from (select low, sum(words) over (order by low desc) reach from lows) where reach <= {size}),
+top as (select word, n, row_number() over (order by n desc, encode(word)) + {FIRST - 1} entry from counted where n >= (select least from bound)),
 entries as (select entry, n from top union all select {START}, (select count(*) from t where len(w) > 0)
     union all select {OTHER}, (select coalesce(sum(n), 0) from counted) - (select coalesce(sum(n), 0) from top)),
 ids as (select r, i, coalesce(entry, {OTHER}) b, lag(coalesce(entry, {OTHER}), 1, {START}) over (partition by r order by i) a from tokens left join top using (word)),
