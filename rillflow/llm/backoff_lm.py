@@ -1,9 +1,10 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-The vocabulary is the corpus' most frequent words, a bounded number that every
-task gets with their counts; all other words share one entry. Each document's
-bigrams are exploded with their counts, dealt once by the hash of the bigram, and
-there counted over all documents, joined to their count, and summed per document.
+All words count, each by itself. The corpus' most frequent words, a bounded number,
+have short entries that every task gets with their counts; any other word's entry
+is a 63-bit hash of it, whose count comes from a table dealt by that hash. Each
+document's bigrams are dealt once by the hash of the bigram, in packs, and counted
+there over all documents; a bigram then needs the count of one of its words.
 
     score(b | a) = count(a b) / count(a)         if count(a b) reaches the cut-off
                    alpha * count(b) / words      otherwise
@@ -11,19 +12,23 @@ there counted over all documents, joined to their count, and summed per document
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, parts, per_batch
+from rillflow.llm.common import cut, mix64, parts
 
-VOCABULARY = 50_000  # words with an entry of their own: what is broadcast has this bound
+VOCABULARY = 50_000  # words with a short entry: what is broadcast has this bound
 ALPHA, CUTOFF = 0.4, 2
-START, OTHER, FIRST = 0, 1, 2  # entries: before the first word, words without an entry, the first word's
+START, OTHER, FIRST = 0, 1, 2  # entries: before the first word, words without an entry (given a size), the first word's
+SEED, HIGH = 42, -(1 << 63)  # hashed entries are negative
+PACK = 400_000  # words in packs at a time
+ALL, SCORED, COUNTED, ROWS = 0, 1, 2, 3  # packs: bigrams to count and score, to score, to count; rows with their ids
 
 
 def words(text: bytes) -> list[bytes]:
@@ -31,12 +36,17 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") -> tuple[list[tuple[bytes, int]], int, int]:
+def hashed(word: bytes) -> int:
+    return (xxhash.xxh64_intdigest(word, SEED) | 1 << 63) - (1 << 64)
+
+
+def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") -> tuple[list[tuple[bytes, int]], int, int, DataFrame]:
     """(the most frequent words with their counts, number of words, of texts with
-    words), counted over all rows. The words are those whose count reaches a bound:
-    the least number of four significant binary digits that at most `size` words
-    reach. So no ties are cut, and besides the words only the number of words for
-    each such bound comes to the driver."""
+    words, all other words that occur twice or more as (entry, count)), counted over
+    all rows. The first are those whose count reaches a bound: the least number of
+    four significant binary digits that at most `size` words reach. So no ties are
+    cut, and besides the words only the number of words for each such bound comes to
+    the driver; the others stay on the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
@@ -67,44 +77,170 @@ def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") ->
             break
         bound = at
     top = [] if bound is None else counts.where((F.length("word") > 0) & (F.col("n") >= bound)).collect()  # at most size words
-    return sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0])), total, texts
+    rare = counts.where((F.length("word") > 0) & (F.col("n") > 1))
+    if bound is not None:
+        rare = rare.where(F.col("n") < bound)
+    rare = rare.groupBy(F.xxhash64("word").bitwiseOR(F.lit(HIGH)).alias("entry")).agg(F.sum("n").alias("count"))
+    return sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0])), total, texts, rare
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length as bytes: like bytes of the numbers stand together, each
+    such plane compressed by itself and left out if it is zero."""
+    planes = np.concatenate([np.ascontiguousarray(c.astype("<i8")).view(np.uint8).reshape(-1, 8).T for c in columns])
+    packs = [pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True) if x.any() else b"" for x in planes]
+    return np.array([len(columns[0]), *map(len, packs)], "<u4").tobytes() + b"".join(packs)
+
+
+def unpacked(pack: bytes, n_columns: int) -> list[np.ndarray]:
+    size, *lengths = np.frombuffer(pack, "<u4", 1 + 8 * n_columns).tolist()
+    planes, at = np.zeros((8 * n_columns, size), np.uint8), 4 + 32 * n_columns
+    for x, n in zip(planes, lengths, strict=True):
+        if n:
+            x[:] = np.frombuffer(pa.decompress(pack[at : at + n], size, codec="zstd", asbytes=True), np.uint8)
+            at += n
+    return [np.ascontiguousarray(c.T).view("<i8").ravel() for c in planes.reshape(n_columns, 8, size)]
 
 
-def bigrams(docs: DataFrame, entries: list[bytes], text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(row long, doc_id, key long, n int): each row's distinct bigrams of entries
-    with their counts; key is first << 32 | second. A row without words has one
-    line, with a negative key of its own."""
+def bigram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(a.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + b.view(np.uint64))
+
+
+def bigrams(docs: DataFrame, entries: list[bytes], closed: bool, kind: int, n_packs: int, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(part int, kind int, pack binary): the distinct bigrams of each row as packs of
+    (row, first entry, second entry, n), a bigram's part being a function of it; and,
+    but for COUNTED, each row's (row, doc_id, 1 if it has one) in packs of kind ROWS."""
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(entries, FIRST)})
 
-    def work():
-        number = shared.value.get
-
-        def each(batch: pa.RecordBatch) -> dict:
-            keys, counts, sizes = [], [], []
-            for x in batch.column(2):
-                ids = np.array([START, *[number(w, OTHER) for w in words(x.as_py() or b"")]], np.int64)
-                key, n = np.unique(ids[:-1] << 32 | ids[1:], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                sizes.append(len(key))
-            lines = np.maximum(sizes, 1)
-            at = np.repeat(np.arange(len(sizes)), lines)
-            key, n, empty = np.full(len(at), -1), np.zeros(len(at), np.int32), np.repeat(np.array(sizes) == 0, lines)
-            key[~empty], n[~empty] = np.concatenate(keys), np.concatenate(counts)
-            row = batch.column(0).to_numpy()[at]
-            key[empty] -= row[empty]
-            return {"row": pa.array(row), "doc_id": batch.column(1).take(pa.array(at)), "key": pa.array(key), "n": pa.array(n)}
-
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+
+        class Entries(dict):
+            def __missing__(self, word: bytes) -> int:
+                return OTHER if closed else hashed(word)
+
+        number = Entries(known).__getitem__
+
+        def flush(held: list[tuple[int, int | None, np.ndarray]]) -> pa.RecordBatch:
+            at, kinds, packs = [], [], []
+            if kind != COUNTED:
+                rows = [np.array([r for r, _, _ in held]), np.array([i or 0 for _, i, _ in held]), np.array([i is not None for _, i, _ in held])]
+                at, kinds, packs = [held[0][0] % n_packs], [ROWS], [packed(rows)]
+            row = np.repeat(np.array([r for r, _, _ in held], np.int64), [len(x) - 1 for _, _, x in held])
+            if len(row):
+                a = np.concatenate([x[:-1] for _, _, x in held])
+                b = np.concatenate([x[1:] for _, _, x in held])
+                key = bigram_key(a, b)
+                order = np.argsort(key, kind="stable")  # rows ascend within a key
+                key, row, a, b = key[order], row[order], a[order], b[order]
+                first = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(row, prepend=-1) != 0))
+                n = np.diff(first, append=len(key))
+                key, row, a, b = key[first], row[first], a[first], b[first]
+                part = ((key >> np.uint64(32)) * np.uint64(n_packs) >> np.uint64(32)).astype(np.int64)  # ascends
+                order = np.lexsort((row, part))
+                part, row, a, b, n = part[order], row[order], a[order], b[order], n[order]
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    at.append(int(part[lo]))
+                    kinds.append(kind)
+                    packs.append(packed([np.diff(row[lo:hi], prepend=0), a[lo:hi], b[lo:hi], n[lo:hi]]))
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array(packs, pa.binary())], ["part", "kind", "pack"])
+
+        held, size = [], 0
+        for batch in batches:
+            for r, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = np.array([START, *map(number, words(x.as_py() or b""))], np.int64)
+                held.append((r, i, ids))
+                size += len(ids)
+                if size >= PACK:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return per_batch(rows, work, "row long, doc_id long, key long, n int")
+    return rows.mapInArrow(run, "part int, kind int, pack binary")
+
+
+def looked_up(packs: DataFrame, unigrams: list[int], total: int, alpha: float, cutoff: int) -> DataFrame:
+    """(entry, row, doc_id, n, both, log) from packs dealt by part. A line whose entry
+    is negative waits for that entry's count: n bigrams of the row that are `both` times
+    in the corpus, or too seldom (0). Any other line (its entry is the row) has sums of
+    the row: n words with log in units of 1e-9, or n = 0 and the row's id."""
+    shared = packs.sparkSession.sparkContext.broadcast(np.array(unigrams, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
 
+        def lines(entry, row, n, both, log, ids=None) -> pa.RecordBatch:
+            ids = pa.nulls(len(row), pa.int64()) if ids is None else ids
+            return pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(row, pa.int64()), ids, *(pa.array(x, pa.int64()) for x in (n, both, log))], ["entry", "row", "doc_id", "n", "both", "log"])
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, size: int = VOCABULARY, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
+        def summed(done: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            row, n, log = (np.concatenate(x) for x in zip(*done, strict=True))
+            order = np.argsort(row, kind="stable")
+            row, n, log = row[order], n[order], log[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            zero = np.zeros(len(first), np.int64)
+            return lines(row[first], row[first], np.add.reduceat(n, first), zero, np.add.reduceat(log, first))
+
+        held = defaultdict(list)
+        for batch in batches:
+            for part, kind, pack in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == ROWS:
+                    row, ids, some = unpacked(pack, 3)
+                    zero = np.zeros(len(row), np.int64)
+                    yield lines(row, row, zero, zero, zero, pa.array(ids, pa.int64(), mask=some == 0))
+                else:
+                    held[part].append((kind, pack))
+        done, size = [], 0
+        for part in list(held):
+            columns, kinds = [], []
+            for kind, pack in held.pop(part):
+                delta, *more = unpacked(pack, 4)
+                columns.append((np.cumsum(delta), *more))
+                kinds.append(np.full(len(delta), kind, np.int8))
+            row, a, b, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+            kind = np.concatenate(kinds)
+            key = bigram_key(a, b)
+            order = np.argsort(key)
+            first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+            sums = np.add.reduceat(np.where(kind == SCORED, 0, n)[order], first)
+            both = np.empty(len(key), np.int64)
+            both[order] = np.repeat(sums, np.diff(first, append=len(key)))
+            scored = kind != COUNTED
+            row, a, b, n, both = row[scored], a[scored], b[scored], n[scored], both[scored]
+            seen = both >= max(cutoff, 1)
+            both = np.where(seen, both, 0)
+            entry = np.where(seen, a, b)
+            rare = entry < 0
+            if rare.any():
+                at = np.flatnonzero(rare)
+                at = at[np.lexsort((row[at], entry[at]))]  # like entries together, as they compress
+                yield lines(entry[at], row[at], n[at], both[at], np.zeros(len(at), np.int64))
+            row, n, both, entry, seen = row[~rare], n[~rare], both[~rare], entry[~rare], seen[~rare]
+            count = counts[entry]
+            value = np.where(seen, both / np.maximum(count, 1), alpha * np.maximum(count, 1) / max(total, 1))
+            done.append((row, n, np.rint(np.log(value) * 1e9).astype(np.int64) * n))
+            size += len(row)
+            if size >= 2_000_000:
+                yield summed(done)
+                done, size = [], 0
+        if size:
+            yield summed(done)
+
+    return packs.mapInArrow(run, "entry long, row long, doc_id long, n long, both long, log long")
+
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, size: int | None = None, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of each row of docs under the
     model that all rows of corpus (docs itself, if not given) make.
 
+    Every word and bigram of the corpus counts. Only if a size is given, the model
+    is closed: at most so many words, the most frequent, have a count of their own,
+    and all others share one.
+
     log_score sums natural logarithms, each rounded to nine decimals, so that the
     sum is the same in any order; mean_log_score is it over n_words, to six
     decimals, null without words. Null and empty texts have no words. Repeated
@@ -112,28 +248,24 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, size: int = VOCABULA
     part. With an empty corpus every word scores as if it had been seen once.
     """
     spark = docs.sparkSession
-    same = corpus is None
-    known, total, texts = vocabulary(docs if same else corpus, size)
+    same, closed = corpus is None, size is not None
+    known, total, texts, rare = vocabulary(docs if same else corpus, size if closed else VOCABULARY)
     entries = [w for w, _ in known]
-    unigrams = [texts, total - sum(n for _, n in known), *[n for _, n in known]]
-    counts = spark.createDataFrame([(i, n) for i, n in enumerate(unigrams)], "entry long, count long")
+    unigrams = [texts, total - sum(n for _, n in known) if closed else 0, *[n for _, n in known]]
     n_parts = parts(spark)
-    dealt = bigrams(docs, entries).repartition(n_parts, "key")
-    if same:
-        # one deal and one sort give each bigram its count: two branches of a join
-        # would deal the same rows twice, as the planner prunes one of them
-        joined = dealt.withColumn("both", F.sum("n").over(Window.partitionBy("key")))
+    packs = bigrams(docs, entries, closed, ALL if same else SCORED, 3 * n_parts)
+    if not same:
+        packs = packs.union(bigrams(corpus, entries, closed, COUNTED, 3 * n_parts))
+    found = looked_up(packs.repartition(n_parts, "part"), unigrams, total, alpha, cutoff)
+    if closed:
+        logs = F.col("log")
     else:
-        table = bigrams(corpus, entries).groupBy("key").agg(F.sum("n").alias("both"))
-        joined = dealt.join(table, "key", "left")
-    first = counts.select(F.col("entry").alias("a"), F.col("count").alias("count_a"))
-    second = counts.select(F.col("entry").alias("b"), F.col("count").alias("count_b"))
-    joined = joined.select("row", "doc_id", "n", (F.col("key") >= 0).alias("some"), F.shiftright("key", 32).alias("a"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), F.coalesce("both", F.lit(0)).alias("both"))
-    joined = joined.join(F.broadcast(first), "a", "left").join(F.broadcast(second), "b", "left")
-    seen = (F.col("both") >= cutoff) & (F.col("count_a") > 0)
-    value = F.when(seen, F.col("both") / F.col("count_a")).otherwise(F.lit(alpha) * F.greatest("count_b", F.lit(1)) / F.lit(max(total, 1)))
-    logs = F.when(F.col("some"), F.round(F.log(value), 9).cast("decimal(18,9)") * F.col("n")).otherwise(F.lit(0).cast("decimal(18,9)"))
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_words"), F.sum(logs).cast("double").alias("log_score"))
+        # a word that the table lacks occurs once at most, and counts as once
+        found = found.join(rare, "entry", "left")
+        count = F.coalesce("count", F.lit(1))
+        value = F.when(F.col("both") > 0, F.col("both") / count).otherwise(F.lit(alpha) * count / F.lit(max(total, 1)))
+        logs = F.when(F.col("entry") < 0, F.rint(F.log(value) * 1e9).cast("long") * F.col("n")).otherwise(F.col("log"))
+    summed = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), (F.sum(logs.cast("decimal(18,0)")) / F.lit(10**9).cast("decimal(10,0)")).cast("double").alias("log_score"))
     return summed.select("doc_id", "n_words", "log_score", F.round(F.try_divide("log_score", "n_words"), 6).alias("mean_log_score"))
 
 

@@ -170,6 +170,23 @@ def test_scores_equal_sql(spark, size, cutoff):
     assert plain(got.columns, got.collect()) == plain(names, want)
 
 
+def test_every_word_has_its_own_count(spark):
+    """More words than a broadcast holds, against the SQL with a size that no word is beyond."""
+    rare = [f"w{i}" for i in range(60_000)]
+    docs = [(1, " ".join(rare)), (2, " ".join(rare[:40])), (3, " ".join(f"{a} {b}" for a, b in zip(rare[:30], rare[100:130], strict=True))), (None, "w7 w8 w59999 unknown"), (5, None)]
+    docs += [(10 + i, prose(i % 3, 40)) for i in range(9)]
+    got = backoff_lm.score(documents(spark, docs))
+    names, want = sql_rows(docs, size=1 << 40)
+    assert plain(got.columns, got.collect()) == plain(names, want)
+    many = documents(spark, [(9, " ".join(rare)), (8, "w7 w8 w7 w8")])
+    from math import log
+
+    got = {x["doc_id"]: x["log_score"] for x in backoff_lm.score(documents(spark, [(1, "w7 w8"), (2, "w8 w9 w9")]), many).collect()}
+    n = 60_004  # start w7: once, too seldom; w7 w8: 3 of 3; start w8, w8 w9, w9 w9: never
+    assert got[1] == pytest.approx(log(0.4 * 3 / n) + log(3 / 3), abs=1e-6)
+    assert got[2] == pytest.approx(log(0.4 * 3 / n) + 2 * log(0.4 / n), abs=1e-6)
+
+
 def test_scores_under_another_corpus(spark):
     docs, corpus = documents(spark, [(1, "a b c"), (2, None), (3, "zz")]), documents(spark, [(9, "a b a b"), (8, "a c")])
     from math import log
