@@ -13,6 +13,7 @@ the two signatures.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import cut, parts, text_of
 
 WINDOW, LEAST, LENGTH = 7, 3, 64
-MOST = 256  # characters of a signature; of a text with more boundaries (such as one letter over and over) the last stands for the rest
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -42,9 +42,9 @@ def rolling(data: bytes) -> np.ndarray:
 
 def signature(data: bytes, h: np.ndarray, block: int) -> str:
     """A character for each chunk; the last holds what follows the last boundary,
-    if anything does. The whole text counts."""
+    if anything does. All chunks count, however many."""
     ends = np.flatnonzero(h % np.uint32(block) == block - 1) + 1
-    edges = [0, *ends[: MOST - 1].tolist()]
+    edges = [0, *ends.tolist()]
     if edges[-1] < len(data):
         edges.append(len(data))
     return "".join(SYMBOLS[xxhash.xxh32_intdigest(data[a:b]) & 63] for a, b in zip(edges, edges[1:], strict=False))
@@ -62,7 +62,13 @@ def fingerprint(text: str) -> str:
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel (Myers; Hyyro's form)."""
+    """Levenshtein distance, bit-parallel (Myers; Hyyro's form), of what lies between
+    the common start and the common end; the shorter one is the pattern, so that a
+    very long signature costs little against a short or a like one."""
+    start = len(commonprefix((a, b)))
+    a, b = a[start:], b[start:]
+    end = len(commonprefix((a[::-1], b[::-1])))
+    a, b = sorted((a[: len(a) - end], b[: len(b) - end]), key=len)
     if not a or not b:
         return len(a) + len(b)
     peq: dict[str, int] = {}

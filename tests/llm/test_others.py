@@ -224,6 +224,16 @@ def test_fingerprint_depends_on_near_bytes_only():
     assert len(fuzzy.fingerprint("a" * 300_000)) < 600
 
 
+def test_all_chunks_count():
+    """Repeated lines have hundreds of boundaries at the block size that finds 32."""
+    text = (prose(13, 10) + "\n") * 400
+    block, one, _ = fuzzy.fingerprint(text).split(":")
+    data = text.encode()
+    ends = [i + 1 for i, h in enumerate(fuzzy.rolling(data).tolist()) if h % int(block) == int(block) - 1]
+    assert len(one) == len(ends) + (ends[-1] < len(data)) > 256
+    assert fuzzy.likeness(fuzzy.fingerprint(text), fuzzy.fingerprint(fuzzy.edited(text, prose(99, 5000)))) < 0.9
+
+
 def test_rolling_hash_sees_the_window_only():
     a, b = fuzzy.rolling(b"0123456789abcdefgh"), fuzzy.rolling(b"XXXXXXXXXXabcdefgh")
     assert (a[-2:] == b[-2:]).all() and not (a[:10] == b[:10]).any()
