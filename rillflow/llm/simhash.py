@@ -11,8 +11,9 @@ Shards. For a small radius r, the bits are cut into r + 2 blocks; two fingerprin
 within r bits agree in two blocks at least, so that a shard for each pair of
 blocks loses no link. For a large radius (near copies of similarity 0.8 differ in
 5 to 17 bits) that would take too many shards; there, bands of min-hashes of the
-same shingles deal texts to shards, and a link also needs the wanted similarity,
-estimated from 128 min-hashes.
+same shingles deal texts to shards, and an estimate from 128 min-hashes, with a
+margin, gives candidates. Items that candidates connect are then dealt with their
+whole shingle sets, and a link needs the wanted similarity of these sets, exactly.
 
 A shard of more than `chunk` items is split: its items are dealt to chunks, and
 each pair of chunks is a task's tree and query set of its own, so that no task
@@ -35,7 +36,7 @@ from rillflow.llm.common import MASK64, as_long, connected_components, cut, mix6
 
 SEED = 42
 SKETCH = 128  # min-hashes of a text's sketch
-ERROR = 0.035  # the standard error of a similarity of 0.8 estimated from them
+MARGIN = 0.15  # how far below the wanted similarity its estimate may lie: over four standard errors (0.035 at 0.8)
 BAND_ROWS, BANDS = 2, 8  # a pair of similarity 0.8 shares no band with probability (1 - 0.64) ** 8 = 0.0003
 
 
@@ -75,31 +76,32 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return low
 
 
-def fingerprints(docs: DataFrame, words: int = 4, with_sketch: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, with_sketch: bool = False, text: str = "text", id: str = "doc_id", with_text: bool = False) -> DataFrame:
     """(id, fp long) for each row, whole texts; null counts as empty. with_sketch
     adds body (the 128-bit hash of the word sequence), bands (array of long) and
-    sketch (a byte for each min-hash)."""
+    sketch (a byte for each min-hash); with_text adds body and the text itself."""
 
     def work():
         def each(batch: pa.RecordBatch) -> dict:
-            out = {"id": batch.column(0), "fp": [], "body": [], "bands": [], "sketch": []}
+            out = {"id": batch.column(0), "fp": [], "body": [], "bands": [], "sketch": [], "text": batch.column(1)}
             for x in batch.column(1):
                 t = x.as_py() or b""
                 h = hashes(t, words)
                 out["fp"].append(as_long(fingerprint(h)))
+                if with_sketch or with_text:
+                    out["body"].append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
                 if with_sketch:
                     low = sketch(h)
                     rows = low[: BAND_ROWS * BANDS].reshape(BANDS, BAND_ROWS)
                     with np.errstate(over="ignore"):
                         bands = mix64(rows[:, 0] + mix64(rows[:, 1] + np.arange(BANDS, dtype=np.uint64)))
-                    out["body"].append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
                     out["bands"].append(bands.view(np.int64))
                     out["sketch"].append((mix64(low) >> np.uint64(56)).astype(np.uint8).tobytes())
             return out
 
         return each
 
-    more = ", body binary, bands array<long>, sketch binary" if with_sketch else ""
+    more = ", body binary, bands array<long>, sketch binary" if with_sketch else ", body binary, text binary" if with_text else ""
     return per_batch(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")), work, "id long, fp long" + more)
 
 
@@ -187,7 +189,33 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def link_block(group: np.ndarray, item: np.ndarray, fp: np.ndarray, in_tree: np.ndarray, in_query: np.ndarray, sketches: np.ndarray | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """If two ascending arrays without repeats have that Jaccard similarity."""
+    if min(len(one), len(other)) < similarity * max(len(one), len(other)):
+        return False
+    both = np.intersect1d(one, other, assume_unique=True).size
+    return both >= similarity * (len(one) + len(other) - both)
+
+
+def confirmed(n: int, a: np.ndarray, b: np.ndarray, sets: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the candidate links (a, b) of n rows that are alike, but for links
+    within what the ones before them connect."""
+    of, good = list(range(n)), []
+
+    def root(x: int) -> int:
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = root(x), root(y)
+        if p != q and alike(np.frombuffer(sets[x], "<u8"), np.frombuffer(sets[y], "<u8"), similarity):
+            of[max(p, q)] = min(p, q)
+            good.append(k)
+    return a[good], b[good]
+
+
+def link_block(group: np.ndarray, item: np.ndarray, fp: np.ndarray, in_tree: np.ndarray, in_query: np.ndarray, sketches: np.ndarray | None, radius: int, similarity: float, sets: list[bytes] | None = None, exact: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (item, item) of whole groups of rows, sorted by group."""
     t, q = np.flatnonzero(in_tree), np.flatnonzero(in_query)
     forest = build_forest(group[t], fp[t])
@@ -205,19 +233,28 @@ def link_block(group: np.ndarray, item: np.ndarray, fp: np.ndarray, in_tree: np.
         right.append(b)
     if not left:
         return item[:0], item[:0]
-    label = spanning(len(item), np.concatenate(left), np.concatenate(right))
+    a, b = np.concatenate(left), np.concatenate(right)
+    if sets is not None:
+        order = np.unique(np.minimum(a, b) * len(item) + np.maximum(a, b))  # each pair once
+        a, b = confirmed(len(item), order // len(item), order % len(item), sets, exact)
+    label = spanning(len(item), a, b)
     far = np.flatnonzero(label != np.arange(len(item)))
     return item[far], item[label[far]]
 
 
-def links(items: DataFrame, radius: int, similarity: float | None = None, chunk: int = 1024) -> DataFrame:
+def links(items: DataFrame, radius: int, similarity: float | None = None, chunk: int = 1024, exact: float | None = None) -> DataFrame:
     """Links between items (item long, fp long, and for a similarity bands and
-    sketch) as (a, b) pairs that connect all that are within the radius."""
+    sketch) as (a, b) pairs that connect all that are within the radius. For an
+    exact similarity besides, items have sketch, shingles (ascending hashes) and root
+    instead; those of one root are a shard."""
     spark = items.sparkSession
     if similarity is None:
         keys = F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(radius))])
         rows = items.select("item", "fp", F.inline(keys))
         more = []
+    elif exact is not None:
+        rows = items.select("item", "fp", "sketch", "shingles", F.lit(0).alias("n"), F.col("root").alias("key"))
+        more = ["sketch", "shingles"]
     else:
         rows = items.select("item", "fp", "sketch", F.posexplode("bands").alias("n", "key"))
         more = ["sketch"]
@@ -239,14 +276,14 @@ def links(items: DataFrame, radius: int, similarity: float | None = None, chunk:
             sk = None
             if more:
                 sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            a, b = link_block(np.cumsum(new) - 1, get("item"), get("fp").view(np.uint64), get("tree"), get("query"), sk, radius, similarity or 0)
+            a, b = link_block(np.cumsum(new) - 1, get("item"), get("fp").view(np.uint64), get("tree"), get("query"), sk, radius, similarity or 0, table.column("shingles").to_pylist() if exact is not None else None, exact or 0)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held, n = [], 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= 100_000:  # whole groups only: what follows the last change of group waits
+            if n >= (100_000 if exact is None else 5_000):  # whole groups only: what follows the last change of group waits
                 table = pa.Table.from_batches(held)
                 last = [table.column(c)[n - 1].as_py() for c in order]
                 same = np.ones(n, bool)
@@ -263,15 +300,31 @@ def links(items: DataFrame, radius: int, similarity: float | None = None, chunk:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def with_sets(docs: DataFrame, items: DataFrame, words: int, text: str, id: str) -> DataFrame:
+    """(item, fp, sketch, root, shingles) of items (which have the least id, too):
+    the text comes from a row of docs with that id, so that exact copies are not
+    dealt to one task."""
+    rows = fingerprints(docs, words, text=text, id=id, with_text=True).select(F.xxhash64("body", "fp").alias("_item"), F.col("id").alias("_id"), "text")
+    found = rows.join(items, (F.col("item") == F.col("_item")) & F.col("least").eqNullSafe(F.col("_id"))).dropDuplicates(["item"])
+
+    def work():
+        def each(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(hashes(x.as_py() or b"", words)).tobytes() for x in batch.column(4)]
+            return {name: batch.column(i) for i, name in enumerate(["item", "fp", "sketch", "root"])} | {"shingles": sets}
+
+        return each
+
+    return per_batch(found.select("item", "fp", "sketch", "root", "text"), work, "item long, fp long, sketch binary, root long, shingles binary")
+
+
 def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, fp long, component) for each row of docs: the smallest id that its
     links reach, itself included.
 
     radius: bits in which linked fingerprints differ at most. Without similarity,
     no link is lost. With it, links also need that Jaccard similarity of shingle
-    sets, and radius may be large; it is estimated with a standard error of 0.035,
-    and the threshold is lowered by two of these, so that few pairs that reach it
-    are missed.
+    sets, and radius may be large. Its estimate, with a standard error of 0.035, only
+    finds candidates down to MARGIN below it; the sets themselves decide.
 
     Null or empty texts have fingerprint zero and link like any other. Rows that
     repeat an id share its component; a null id is never a component's name while
@@ -285,7 +338,12 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
         key = F.xxhash64("body", "fp")
         items = prints.groupBy(key.alias("item")).agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     items = cut(items)
-    roots = connected_components(links(items, radius, None if similarity is None else similarity - 2 * ERROR))
+    if similarity is None:
+        roots = connected_components(links(items, radius))
+    else:
+        low = similarity - MARGIN
+        near = items.join(connected_components(links(items, radius, low)), F.col("item") == F.col("node")).select("item", "least", "fp", "sketch", "root")
+        roots = connected_components(links(with_sets(docs, near, words, text, id), radius, low, exact=similarity))
     named = items.join(roots, items["item"] == roots["node"], "left").select("item", "least", F.coalesce("root", "item").alias("root"))
     linked = named.groupBy("root").agg(F.min("least").alias("component"))
     named = cut(named.join(linked, "root").select("item", "component"))

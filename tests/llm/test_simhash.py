@@ -103,3 +103,18 @@ def test_dedup_keeps_one_of_each_group(spark):
     ids = sorted(r["doc_id"] for r in kept.select("doc_id").collect())
     assert ids == [*range(30), *range(300, 310), 400, 402]
     assert simhash.dedup(documents(spark, [])).count() == 0
+
+
+def test_only_exact_similarity_links(spark):
+    """Pairs on either side of 0.8, within the error of the estimate: the sets decide."""
+    rows, want = [], set()
+    for i in range(60):
+        words = prose(i, 300)[:-1].split()
+        k = 28 + i % 11  # words that are new at the end: the sets share 296 - k of 296 + k shingles, 0.83 to 0.77
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words[: 300 - k] + [f"n{i}x{j}" for j in range(k)]))]
+        one, other = (set(simhash.shingles(t.encode(), 5)) for _, t in rows[-2:])
+        if len(one & other) >= 0.8 * len(one | other):
+            want.add(1000 + i)
+    assert 10 < len(want) < 50
+    kept = {r["doc_id"] for r in simhash.dedup(documents(spark, rows)).select("doc_id").collect()}
+    assert {i for i, _ in rows} - kept == want
