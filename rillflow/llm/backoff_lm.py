@@ -1,13 +1,20 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-All words count, each by itself. The corpus' most frequent words, a bounded number,
-have short entries that every task gets with their counts; any other word's entry
-is a 63-bit hash of it, whose count comes from a table dealt by that hash. Each
-document's bigrams are dealt once by the hash of the bigram, in packs, and counted
-there over all documents; a bigram then needs the count of one of its words.
-
-    score(b | a) = count(a b) / count(a)         if count(a b) reaches the cut-off
+    score(b | a) = count(a b) / count(a)         if a b was seen
                    alpha * count(b) / words      otherwise
+
+A document of the corpus is scored under the model of all other rows: its own counts
+are taken off each count first. With them, every n-gram of the corpus would have been
+seen, and nothing would ever back off.
+
+All words and bigrams count, each by itself. The corpus' most frequent words, a bounded
+number, have short entries that every task gets with their counts; any other word's
+entry is a 63-bit hash of it, whose count comes from a table dealt by that hash. Each
+document's bigrams are dealt once by the hash of the bigram, in packs, and counted
+there over all documents; a bigram then needs the count of one of its words. Bigrams
+that might be a hot group (both words are frequent enough for it) are spread over
+several parts by document; their counts are added up in the tasks that read them, and
+the sums go to each of these parts.
 """
 
 from __future__ import annotations
@@ -24,8 +31,9 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import cut, mix64, parts
 
 VOCABULARY = 50_000  # words with a short entry: what is broadcast has this bound
-ALPHA, CUTOFF = 0.4, 2
-START, OTHER, FIRST = 0, 1, 2  # entries: before the first word, words without an entry (given a size), the first word's
+ALPHA = 0.4
+START, FIRST = 0, 1  # entries: before the first word, the first word's
+HOT = 4  # a bigram that might fill as many parts is spread
 SEED, HIGH = 42, -(1 << 63)  # hashed entries are negative
 PACK = 400_000  # words in packs at a time
 ALL, SCORED, COUNTED, ROWS = 0, 1, 2, 3  # packs: bigrams to count and score, to score, to count; rows with their ids
@@ -107,23 +115,40 @@ def bigram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64(mix64(a.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + b.view(np.uint64))
 
 
-def bigrams(docs: DataFrame, entries: list[bytes], closed: bool, kind: int, n_packs: int, text: str = "text", id: str = "doc_id") -> DataFrame:
+def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: int, own: bool, kind: int, n_packs: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(part int, kind int, pack binary): the distinct bigrams of each row as packs of
-    (row, first entry, second entry, n), a bigram's part being a function of it; and,
-    but for COUNTED, each row's (row, doc_id, 1 if it has one) in packs of kind ROWS."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(entries, FIRST)})
+    (row, first entry, second entry, n, the row's count of either word or, unless own,
+    0), a bigram's part being a function of it; and, but for COUNTED, each row's (row,
+    doc_id, 1 if it has one) in packs of kind ROWS."""
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(entries, FIRST)}, np.array(unigrams, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, counts = shared.value
 
         class Entries(dict):
             def __missing__(self, word: bytes) -> int:
-                return OTHER if closed else hashed(word)
+                return hashed(word)
 
         number = Entries(known).__getitem__
+        widest = counts * n_packs // (HOT * max(total, 1)) + 1  # parts that a word's bigrams need
+
+        def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """In how many parts a bigram is."""
+            return np.where((a >= 0) & (b >= 0), np.minimum(widest[np.maximum(a, 0)], widest[np.maximum(b, 0)]), 1)
 
         def flush(held: list[tuple[int, int | None, np.ndarray]]) -> pa.RecordBatch:
             at, kinds, packs = [], [], []
+
+            def deal(kind_: int, part, row, *columns) -> None:
+                order = np.lexsort((row, part))
+                part, row, *columns = (c[order] for c in (part, row, *columns))
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if hi > lo:
+                        at.append(int(part[lo]))
+                        kinds.append(kind_)
+                        packs.append(packed([np.diff(row[lo:hi], prepend=0), *[c[lo:hi] for c in columns]]))
+
             if kind != COUNTED:
                 rows = [np.array([r for r, _, _ in held]), np.array([i or 0 for _, i, _ in held]), np.array([i is not None for _, i, _ in held])]
                 at, kinds, packs = [held[0][0] % n_packs], [ROWS], [packed(rows)]
@@ -131,20 +156,34 @@ def bigrams(docs: DataFrame, entries: list[bytes], closed: bool, kind: int, n_pa
             if len(row):
                 a = np.concatenate([x[:-1] for _, _, x in held])
                 b = np.concatenate([x[1:] for _, _, x in held])
+                times = [np.zeros(len(x), np.int64) for _, _, x in held]
+                if own:
+                    for t, (_, _, x) in zip(times, held, strict=True):
+                        _, back, n = np.unique(x, return_inverse=True, return_counts=True)
+                        t[:] = n[back]
+                own_a, own_b = np.concatenate([t[:-1] for t in times]), np.concatenate([t[1:] for t in times])
                 key = bigram_key(a, b)
                 order = np.argsort(key, kind="stable")  # rows ascend within a key
-                key, row, a, b = key[order], row[order], a[order], b[order]
+                key, row, a, b, own_a, own_b = (c[order] for c in (key, row, a, b, own_a, own_b))
                 first = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(row, prepend=-1) != 0))
                 n = np.diff(first, append=len(key))
-                key, row, a, b = key[first], row[first], a[first], b[first]
-                part = ((key >> np.uint64(32)) * np.uint64(n_packs) >> np.uint64(32)).astype(np.int64)  # ascends
-                order = np.lexsort((row, part))
-                part, row, a, b, n = part[order], row[order], a[order], b[order], n[order]
-                edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    at.append(int(part[lo]))
-                    kinds.append(kind)
-                    packs.append(packed([np.diff(row[lo:hi], prepend=0), a[lo:hi], b[lo:hi], n[lo:hi]]))
+                key, row, a, b, own_a, own_b = (c[first] for c in (key, row, a, b, own_a, own_b))
+                part = ((key >> np.uint64(32)) * np.uint64(n_packs) >> np.uint64(32)).astype(np.int64)
+                wide = spread(a, b)
+                hot = wide > 1
+                deal(kind, part[~hot], *(c[~hot] for c in (row, a, b, n, own_a, own_b)))
+                if hot.any():
+                    key, part, wide, row, a, b, n, own_a, own_b = (c[hot] for c in (key, part, wide, row, a, b, n, own_a, own_b))
+                    if kind != COUNTED:
+                        salt = (mix64(row.view(np.uint64)) % wide.view(np.uint64)).view(np.int64)
+                        deal(SCORED, (part + salt) % n_packs, row, a, b, n, own_a, own_b)
+                    if kind != SCORED:
+                        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+                        sums = np.add.reduceat(n, first)
+                        part, wide, a, b = part[first], wide[first], a[first], b[first]
+                        copy = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+                        zero = np.zeros(len(copy), np.int64)
+                        deal(COUNTED, (np.repeat(part, wide) + copy) % n_packs, zero, np.repeat(a, wide), np.repeat(b, wide), np.repeat(sums, wide), zero, zero)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array(packs, pa.binary())], ["part", "kind", "pack"])
 
         held, size = [], 0
@@ -163,45 +202,48 @@ def bigrams(docs: DataFrame, entries: list[bytes], closed: bool, kind: int, n_pa
     return rows.mapInArrow(run, "part int, kind int, pack binary")
 
 
-def looked_up(packs: DataFrame, unigrams: list[int], total: int, alpha: float, cutoff: int) -> DataFrame:
-    """(entry, row, doc_id, n, both, log) from packs dealt by part. A line whose entry
-    is negative waits for that entry's count: n bigrams of the row that are `both` times
-    in the corpus, or too seldom (0). Any other line (its entry is the row) has sums of
-    the row: n words with log in units of 1e-9, or n = 0 and the row's id."""
+def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float) -> DataFrame:
+    """(entry, row, doc_id, n, both, less, back, log) from packs dealt by part. A line
+    whose entry is negative waits for that entry's count, to be taken `less` from: n
+    bigrams of the row that are `both` times in the corpus, or not at all (0). Any other
+    line (its entry is the row) has sums of the row: n words, of which `back` backed off,
+    with log in units of 1e-9 (but for the number of words, which backing off divides
+    by), or n = 0 and the row's id."""
     shared = packs.sparkSession.sparkContext.broadcast(np.array(unigrams, np.int64))
+    names = ["entry", "row", "doc_id", "n", "both", "less", "back", "log"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
 
-        def lines(entry, row, n, both, log, ids=None) -> pa.RecordBatch:
-            ids = pa.nulls(len(row), pa.int64()) if ids is None else ids
-            return pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(row, pa.int64()), ids, *(pa.array(x, pa.int64()) for x in (n, both, log))], ["entry", "row", "doc_id", "n", "both", "log"])
+        def lines(entry, row, n, both=None, less=None, back=None, log=None, ids=None) -> pa.RecordBatch:
+            zero = np.zeros(len(row), np.int64)
+            rest = [pa.array(zero if x is None else x, pa.int64()) for x in (n, both, less, back, log)]
+            return pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(row, pa.int64()), pa.nulls(len(row), pa.int64()) if ids is None else ids, *rest], names)
 
-        def summed(done: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            row, n, log = (np.concatenate(x) for x in zip(*done, strict=True))
+        def summed(done: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            row, *sums = (np.concatenate(x) for x in zip(*done, strict=True))
             order = np.argsort(row, kind="stable")
-            row, n, log = row[order], n[order], log[order]
+            row = row[order]
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            zero = np.zeros(len(first), np.int64)
-            return lines(row[first], row[first], np.add.reduceat(n, first), zero, np.add.reduceat(log, first))
+            n, back, log = (np.add.reduceat(x[order], first) for x in sums)
+            return lines(row[first], row[first], n, back=back, log=log)
 
         held = defaultdict(list)
         for batch in batches:
             for part, kind, pack in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind == ROWS:
                     row, ids, some = unpacked(pack, 3)
-                    zero = np.zeros(len(row), np.int64)
-                    yield lines(row, row, zero, zero, zero, pa.array(ids, pa.int64(), mask=some == 0))
+                    yield lines(row, row, np.zeros(len(row), np.int64), ids=pa.array(ids, pa.int64(), mask=some == 0))
                 else:
                     held[part].append((kind, pack))
         done, size = [], 0
         for part in list(held):
             columns, kinds = [], []
             for kind, pack in held.pop(part):
-                delta, *more = unpacked(pack, 4)
+                delta, *more = unpacked(pack, 6)
                 columns.append((np.cumsum(delta), *more))
                 kinds.append(np.full(len(delta), kind, np.int8))
-            row, a, b, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+            row, a, b, n, own_a, own_b = (np.concatenate(x) for x in zip(*columns, strict=True))
             kind = np.concatenate(kinds)
             key = bigram_key(a, b)
             order = np.argsort(key)
@@ -210,19 +252,19 @@ def looked_up(packs: DataFrame, unigrams: list[int], total: int, alpha: float, c
             both = np.empty(len(key), np.int64)
             both[order] = np.repeat(sums, np.diff(first, append=len(key)))
             scored = kind != COUNTED
-            row, a, b, n, both = row[scored], a[scored], b[scored], n[scored], both[scored]
-            seen = both >= max(cutoff, 1)
-            both = np.where(seen, both, 0)
-            entry = np.where(seen, a, b)
+            row, a, b, n, both, own_a, own_b = (c[scored] for c in (row, a, b, n, both, own_a, own_b))
+            both = both - n if own else both
+            seen = both > 0
+            entry, less = np.where(seen, a, b), np.where(seen, own_a, own_b)
             rare = entry < 0
             if rare.any():
                 at = np.flatnonzero(rare)
                 at = at[np.lexsort((row[at], entry[at]))]  # like entries together, as they compress
-                yield lines(entry[at], row[at], n[at], both[at], np.zeros(len(at), np.int64))
-            row, n, both, entry, seen = row[~rare], n[~rare], both[~rare], entry[~rare], seen[~rare]
-            count = counts[entry]
-            value = np.where(seen, both / np.maximum(count, 1), alpha * np.maximum(count, 1) / max(total, 1))
-            done.append((row, n, np.rint(np.log(value) * 1e9).astype(np.int64) * n))
+                yield lines(entry[at], row[at], n[at], both[at], less[at])
+            row, n, both, entry, less, seen = (c[~rare] for c in (row, n, both, entry, less, seen))
+            count = np.maximum(counts[entry] - less, 1)
+            log = np.log(np.where(seen, both / count, alpha * count))
+            done.append((row, n, np.where(seen, 0, n), np.rint(log * 1e9).astype(np.int64) * n))
             size += len(row)
             if size >= 2_000_000:
                 yield summed(done)
@@ -230,60 +272,57 @@ def looked_up(packs: DataFrame, unigrams: list[int], total: int, alpha: float, c
         if size:
             yield summed(done)
 
-    return packs.mapInArrow(run, "entry long, row long, doc_id long, n long, both long, log long")
+    return packs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, size: int | None = None, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, short: int = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of each row of docs under the
-    model that all rows of corpus (docs itself, if not given) make.
+    model of all rows of corpus, or, if none is given, of all other rows of docs.
 
-    Every word and bigram of the corpus counts. Only if a size is given, the model
-    is closed: at most so many words, the most frequent, have a count of their own,
-    and all others share one.
+    Every word and bigram of the corpus counts. short bounds how many words have a
+    short entry in every task, and does not change a score.
 
     log_score sums natural logarithms, each rounded to nine decimals, so that the
-    sum is the same in any order; mean_log_score is it over n_words, to six
-    decimals, null without words. Null and empty texts have no words. Repeated
-    rows count and are scored each; null ids stay null; further columns play no
-    part. With an empty corpus every word scores as if it had been seen once.
+    sum is the same in any order, and is given to six; mean_log_score is it over
+    n_words, null without words. Null and empty texts have no words. Repeated rows
+    count for each other and are scored each; null ids stay null; further columns
+    play no part. A word that the model has not seen counts as seen once, also with
+    an empty corpus.
     """
     spark = docs.sparkSession
-    same, closed = corpus is None, size is not None
-    known, total, texts, rare = vocabulary(docs if same else corpus, size if closed else VOCABULARY)
+    own = corpus is None
+    known, total, texts, rare = vocabulary(docs if own else corpus, short)
     entries = [w for w, _ in known]
-    unigrams = [texts, total - sum(n for _, n in known) if closed else 0, *[n for _, n in known]]
+    unigrams = [texts, *[n for _, n in known]]
     n_parts = parts(spark)
-    packs = bigrams(docs, entries, closed, ALL if same else SCORED, 3 * n_parts)
-    if not same:
-        packs = packs.union(bigrams(corpus, entries, closed, COUNTED, 3 * n_parts))
-    found = looked_up(packs.repartition(n_parts, "part"), unigrams, total, alpha, cutoff)
-    if closed:
-        logs = F.col("log")
-    else:
-        # a word that the table lacks occurs once at most, and counts as once
-        found = found.join(rare, "entry", "left")
-        count = F.coalesce("count", F.lit(1))
-        value = F.when(F.col("both") > 0, F.col("both") / count).otherwise(F.lit(alpha) * count / F.lit(max(total, 1)))
-        logs = F.when(F.col("entry") < 0, F.rint(F.log(value) * 1e9).cast("long") * F.col("n")).otherwise(F.col("log"))
-    summed = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), (F.sum(logs.cast("decimal(18,0)")) / F.lit(10**9).cast("decimal(10,0)")).cast("double").alias("log_score"))
-    return summed.select("doc_id", "n_words", "log_score", F.round(F.try_divide("log_score", "n_words"), 6).alias("mean_log_score"))
-
-
-def sql(size: int = VOCABULARY, alpha: float = ALPHA, cutoff: int = CUTOFF) -> str:
-    """DuckDB SQL for score() of the table documents under its own model."""
+    deal = lambda df, kind: bigrams(df, entries, unigrams, total, own, kind, 3 * n_parts)
+    packs = deal(docs, ALL) if own else deal(docs, SCORED).union(deal(corpus, COUNTED))
+    found = looked_up(packs.repartition(n_parts, "part"), unigrams, own, alpha).join(rare, "entry", "left")
+    # a word that the table lacks occurs once at most, and counts as once
+    waits, seen = F.col("entry") < 0, F.col("both") > 0
+    count = F.greatest(F.coalesce("count", F.lit(1)) - F.col("less"), F.lit(1))
+    value = F.when(seen, F.col("both") / count).otherwise(F.lit(alpha) * count)
+    logs = F.when(waits, F.rint(F.log(value) * 1e9).cast("long") * F.col("n")).otherwise(F.col("log"))
+    back = F.when(waits, F.when(seen, 0).otherwise(F.col("n"))).otherwise(F.col("back"))
+    summed = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum(back).alias("back"), F.sum(logs.cast("decimal(18,0)")).alias("log"))
+    words_ = F.greatest(F.lit(total) - (F.col("n_words") if own else F.lit(0)), F.lit(1))
+    whole = F.col("log") - F.col("back").cast("decimal(18,0)") * F.rint(F.log(words_) * 1e9).cast("decimal(18,0)")
+    scored = summed.withColumn("log_score", F.round((whole / F.lit(10**9).cast("decimal(10,0)")).cast("double"), 6))
+    return scored.select("doc_id", "n_words", "log_score", F.round(F.try_divide("log_score", "n_words"), 6).alias("mean_log_score"))
+
+
+def sql(alpha: float = ALPHA) -> str:
+    """DuckDB SQL for score() of the table documents, each row under the model of the
+    others. The empty word stands for a text's start."""
     return rf"""
 with t as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
-tokens as (select r, unnest(w) word, generate_subscripts(w, 1) i from t),
-counted as (select word, count(*) n from tokens group by word),
-lows as (select (n >> greatest(length(bin(n)) - 4, 0)::bigint) << greatest(length(bin(n)) - 4, 0)::bigint low, count(*) words from counted group by 1),
-bound as (select min(low) least from (select low, sum(words) over (order by low desc) reach from lows) where reach <= {size}),
-top as (select word, n, row_number() over (order by n desc, encode(word)) + {FIRST - 1} entry from counted where n >= (select least from bound)),
-entries as (select entry, n from top union all select {START}, (select count(*) from t where len(w) > 0)
-    union all select {OTHER}, (select coalesce(sum(n), 0) from counted) - (select coalesce(sum(n), 0) from top)),
-ids as (select r, i, coalesce(entry, {OTHER}) b, lag(coalesce(entry, {OTHER}), 1, {START}) over (partition by r order by i) a from tokens left join top using (word)),
-own as (select r, a, b, count(*) n from ids group by r, a, b),
-pairs as (select a, b, sum(n) cnt from own group by a, b),
-scored as (select r, own.n, round(ln(case when cnt >= {cutoff} and ea.n > 0 then cnt / ea.n else {alpha} * greatest(eb.n, 1) / (select greatest(sum(n), 1) from counted) end), 9)::decimal(18,9) v
-    from own join pairs using (a, b) join entries ea on ea.entry = a join entries eb on eb.entry = b),
-summed as (select r, sum(n) n, sum(v * n)::double s from scored group by r)
+tokens as (select *, count(*) over (partition by r, word) own, count(*) over (partition by r) size from (select r, unnest(w) word, generate_subscripts(w, 1) i from t)),
+pairs as (select r, size, coalesce(lag(word) over (partition by r order by i), '') a, coalesce(lag(own) over (partition by r order by i), 1) own_a, word b, own own_b from tokens),
+own2 as (select r, a, b, size, own_a, own_b, count(*) n from pairs group by all),
+all2 as (select a, b, sum(n) n from own2 group by a, b),
+all1 as (select word, count(*) n from tokens group by word union all select '', count(*) from t where len(w) > 0),
+scored as (select r, own2.n, (case when all2.n > own2.n then round(ln((all2.n - own2.n) / (ca.n - own_a)), 9)
+    else round(ln({alpha} * greatest(cb.n - own_b, 1)), 9) - round(ln(greatest((select count(*) from tokens) - size, 1)), 9) end)::decimal(18,9) v
+    from own2 join all2 using (a, b) join all1 ca on ca.word = own2.a join all1 cb on cb.word = own2.b),
+summed as (select r, sum(n) n, round(sum(v * n)::double, 6) s from scored group by r)
 select doc_id, coalesce(n, 0)::bigint n_words, coalesce(s, 0)::double log_score, case when n > 0 then round(s / n, 6) end mean_log_score from t left join summed using (r)"""

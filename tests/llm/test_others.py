@@ -162,29 +162,53 @@ def sql_rows(docs, **k):
     return [d[0] for d in cursor.description], cursor.fetchall()
 
 
-@pytest.mark.parametrize("size, cutoff", [(50_000, 2), (20, 1), (0, 3)])
-def test_scores_equal_sql(spark, size, cutoff):
-    docs = [x for x in odd_rows() if x[0] != 8] + [(100 + i, prose(i % 7, 30)) for i in range(20)] + [(200, "A a B b a\tA"), (201, "é É")]
-    got = backoff_lm.score(documents(spark, docs), size=size, cutoff=cutoff)
-    names, want = sql_rows(docs, size=size, cutoff=cutoff)
+@pytest.mark.parametrize("short", [50_000, 20, 0])
+def test_scores_equal_sql(spark, short):
+    """With short entries for all words, some and none; the last rows hold bigrams that
+    are spread over several parts."""
+    docs = odd_rows() + [(100 + i, prose(i % 7, 30)) for i in range(20)] + [(200, "A a B b a\tA"), (201, "é É")]
+    docs += [(300 + i, "the same " * (3000 + i) + f"end{i % 4}") for i in range(12)]
+    got = backoff_lm.score(documents(spark, docs), short=short)
+    names, want = sql_rows(docs)
     assert plain(got.columns, got.collect()) == plain(names, want)
 
 
 def test_every_word_has_its_own_count(spark):
-    """More words than a broadcast holds, against the SQL with a size that no word is beyond."""
-    rare = [f"w{i}" for i in range(60_000)]
-    docs = [(1, " ".join(rare)), (2, " ".join(rare[:40])), (3, " ".join(f"{a} {b}" for a, b in zip(rare[:30], rare[100:130], strict=True))), (None, "w7 w8 w59999 unknown"), (5, None)]
+    """More words than a broadcast holds."""
+    rare = [f"w{i}" for i in range(6_000)]
+    docs = [(1, " ".join(rare)), (2, " ".join(rare[:40])), (3, " ".join(f"{a} {b}" for a, b in zip(rare[:30], rare[100:130], strict=True))), (None, "w7 w8 w5999 unknown"), (5, None)]
     docs += [(10 + i, prose(i % 3, 40)) for i in range(9)]
-    got = backoff_lm.score(documents(spark, docs))
-    names, want = sql_rows(docs, size=1 << 40)
+    got = backoff_lm.score(documents(spark, docs), short=1000)
+    names, want = sql_rows(docs)
     assert plain(got.columns, got.collect()) == plain(names, want)
-    many = documents(spark, [(9, " ".join(rare)), (8, "w7 w8 w7 w8")])
+
+
+def naive_scores(docs, corpus, own):
+    from collections import Counter
     from math import log
 
-    got = {x["doc_id"]: x["log_score"] for x in backoff_lm.score(documents(spark, [(1, "w7 w8"), (2, "w8 w9 w9")]), many).collect()}
-    n = 60_004  # start w7: once, too seldom; w7 w8: 3 of 3; start w8, w8 w9, w9 w9: never
-    assert got[1] == pytest.approx(log(0.4 * 3 / n) + log(3 / 3), abs=1e-6)
-    assert got[2] == pytest.approx(log(0.4 * 3 / n) + 2 * log(0.4 / n), abs=1e-6)
+    split = lambda t: (t or "").lower().split()
+    seen = lambda texts: (Counter(w for t in texts for w in [""] * bool(t) + t), Counter(p for t in texts for p in zip([""] + t, t, strict=False)))
+    all1, all2 = seen([split(t) for _, t in corpus])
+    out = []
+    for id_, t in docs:
+        w = split(t)
+        one, two = seen([w]) if own else (Counter(), Counter())
+        n = max(sum(c for x, c in all1.items() if x) - (len(w) if own else 0), 1)
+        total = 0.0
+        for a, b in zip([""] + w, w, strict=False):
+            both = all2[a, b] - two[a, b]
+            total += log(both / (all1[a] - one[a])) if both else log(0.4 * max(all1[b] - one[b], 1) / n)
+        out.append((str(id_), len(w), pytest.approx(total, abs=1e-4)))
+    return sorted(out, key=lambda x: x[:2])
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_scores_equal_plain_ones(spark, own):
+    docs = [(i, prose(i % 5, 12) + f" w{i % 2} the the the") for i in range(15)] + [(90, None), (91, ""), (92, "alone")]
+    corpus = docs if own else [(i, prose(i % 4, 20) + " the the w1") for i in range(30)]
+    got = backoff_lm.score(documents(spark, docs), None if own else documents(spark, corpus), short=10).collect()
+    assert sorted([(str(x["doc_id"]), x["n_words"], x["log_score"]) for x in got], key=lambda x: x[:2]) == naive_scores(docs, corpus, own)
 
 
 def test_scores_under_another_corpus(spark):
