@@ -89,9 +89,9 @@ def mix64(x):
         return x ^ (x >> np.uint64(31))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
     """(node, root) for every node that edges name; root is the smallest node
-    that can be reached.
+    that can be reached. kind: the nodes' type.
 
     Alternates the large-star and small-star steps on the cluster: each step is
     an aggregation by node and a join on it. A node's neighbours are never
@@ -99,7 +99,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     engine can split a node with very many neighbours over several tasks. Ends when a round changes nothing, after a number of rounds that grows
     with the logarithm of the longest chain.
     """
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = edges.select(F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -326,9 +326,10 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
     sets, and radius may be large. Its estimate, with a standard error of 0.035, only
     finds candidates down to MARGIN below it; the sets themselves decide.
 
-    Null or empty texts have fingerprint zero and link like any other. Rows that
-    repeat an id share its component; a null id is never a component's name while
-    a linked row has an id. An empty table gives an empty result.
+    Null or empty texts have fingerprint zero and link like any other. Texts whose
+    least id is the same row's id are one node, so that they link; a null id is never
+    a component's name while a linked row has an id. An empty table gives an empty
+    result.
     """
     prints = cut(fingerprints(docs, words, similarity is not None, text, id))
     if similarity is None:
@@ -339,14 +340,24 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float |
         items = prints.groupBy(key.alias("item")).agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     items = cut(items)
     if similarity is None:
-        roots = connected_components(links(items, radius))
+        found = links(items, radius)
     else:
         low = similarity - MARGIN
         near = items.join(connected_components(links(items, radius, low)), F.col("item") == F.col("node")).select("item", "least", "fp", "sketch", "root")
-        roots = connected_components(links(with_sets(docs, near, words, text, id), radius, low, exact=similarity))
-    named = items.join(roots, items["item"] == roots["node"], "left").select("item", "least", F.coalesce("root", "item").alias("root"))
-    linked = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = cut(named.join(linked, "root").select("item", "component"))
+        found = links(with_sets(docs, near, words, text, id), radius, low, exact=similarity)
+    # A node is an item's least id, so that a component's root is its name, and no join
+    # deals items by root. Items without an id, if there are any, come after all ids.
+    node, kind = F.col("least"), "long"
+    if not items.where("least is null").isEmpty():
+        kind = "decimal(20,0)"
+        node = F.coalesce(node.cast(kind), F.lit(str(3 << 63)).cast(kind) + F.col("item")).cast(kind)
+    names = items.select("item", node.alias("name"))
+    edges = found.join(names.toDF("a", "from"), "a").join(names.toDF("b", "to"), "b")
+    roots = connected_components(edges, "from", "to", kind)
+    component = F.coalesce("root", "name")
+    if kind != "long":
+        component = F.when(component <= F.lit((1 << 63) - 1).cast(kind), component.cast("long"))
+    named = cut(names.join(roots, F.col("name") == F.col("node"), "left").select("item", component.alias("component")))
     return prints.withColumn("item", key).join(named, "item").select("id", "fp", "component")
 
 
