@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,31 +55,32 @@ class Model:
     settings: Settings
 
 
-def grams(word: str, s: Settings) -> list[int]:
-    """The buckets of a word: its n-grams with marked ends, and itself."""
-    if len(word) > 64:  # of a very long run, n-grams alone would be as many as its letters
-        marks = [word[i : i + 32] for i in range(0, len(word), 32)]
-        return [g for m in marks for g in grams(m, s)]
+def grams(word: str, s: Settings) -> list[int] | np.ndarray:
+    """The buckets of a word: of its distinct n-grams with marked ends, and of itself."""
     w = f"<{word}>"
-    found = {w[i : i + n] for n in range(s.min_n, s.max_n + 1) for i in range(len(w) - n + 1)} | {w}
-    return [xxhash.xxh32_intdigest(g, s.seed) % s.buckets for g in sorted(found)]
+    hashed = xxhash.xxh32_intdigest
+    each = (hashed(g, s.seed) for g in chain((w[i : i + n] for n in range(s.min_n, s.max_n + 1) for i in range(len(w) - n + 1)), (w,)))
+    if len(w) < 10_000:
+        return [h % s.buckets for h in set(each)]
+    return np.unique(np.fromiter(each, np.uint32)) % np.uint32(s.buckets)  # the same, in four bytes each
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def train(texts: Iterator[tuple[str, int]], prior: float, s: Settings) -> Model:
+def train(texts: Iterator[tuple[str, int]], s: Settings) -> Model:
     """Fits embeddings and softmax by gradient descent with momentum on the whole
-    sample. prior: the share of class 1 among all labelled rows. The bias of the
-    class-balanced loss is moved by half of its log odds: by all of them, the fewest
-    documents would be judged wrong, but one toxic document in five would pass;
-    half costs one clean document in 300 and passes one toxic in twelve.
+    sample, both classes weighing the same, so that a score of 0.5 is where a share
+    of one class is worth the same share of the other. (Moved by the log odds of the
+    labelled rows, or half of them, the bias let one toxic document in five pass.)
 
     Three rounds: the first sees every n-gram that enough sample texts have; the
     others start anew on the `kept` n-grams that moved scores most, each weighted
-    by how much, which leaves little room to learn single texts by heart. A fifth of
-    the texts is left out of them and sets the scale and offset of the scores.
+    by how much, which leaves little room to learn single texts by heart. With the
+    whole table instead (kept=buckets, min_texts=1, 15 epochs a round) held-out recall
+    on check_s falls from 0.9 and more to 0.09. A fifth of the texts is left out of
+    the rounds and sets the scale and offset of the scores.
     """
     bags, y, cache = [], [], {}
     for text, label in texts:
@@ -126,8 +128,7 @@ def train(texts: Iterator[tuple[str, int]], prior: float, s: Settings) -> Model:
     if len(y_checks) and 0 < y_checks.sum() < len(y_checks):
         slope, bias = calibrate(np.array([float(v @ table[g]) for g, v in checks]) + bias, y_checks, bias)
         table *= slope
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    return Model(table, float(bias + 0.5 * np.log(prior / (1 - prior))), s)
+    return Model(table, float(bias), s)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, float]:
@@ -233,8 +234,6 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), hel
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     if held_out:
         known = known.where(~is_held_out(F.col("id")))
-    have = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    prior = have.get(1, 0) / max(1, sum(have.values()))
     picked = None
     for y in (0, 1):
         one = known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample_per_class)
@@ -247,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), hel
             for b in batches:
                 yield from zip(text_of(b), values(b, "y"), strict=True)
 
-        m = train(rows(), prior, s)
+        m = train(rows(), s)
         yield pa.RecordBatch.from_pydict({"table": pa.array([m.table.tobytes()], pa.binary()), "bias": [m.bias]})
 
     got = sample.repartition(1).mapInArrow(run, "table binary, bias double").collect()

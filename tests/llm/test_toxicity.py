@@ -1,3 +1,4 @@
+import re
 import random
 
 import numpy as np
@@ -75,7 +76,31 @@ def test_without_labels(spark):
 def test_gradient_step_lowers_the_loss():
     rows, labels = corpus(100, 3)
     s = toxicity.Settings(min_texts=2)
-    m = toxicity.train(((t, y) for (_, t), (*_, y) in zip(rows, labels, strict=True)), 0.2, s)
+    m = toxicity.train(((t, y) for (_, t), (*_, y) in zip(rows, labels, strict=True)), s)
     one = toxicity.scorer(m)
     assert auc([one(t) for _, t in rows], [y for *_, y in labels]) > 0.99
     assert CLASH  # the columns above are carried through
+
+
+def test_scores_equal_plain_ones(spark):
+    """Long words too: every n-gram counts, in a text of one run of 30,000 letters as in any other."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    s = toxicity.Settings(buckets=1 << 10)
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 3, s.buckets).astype(np.float32), -0.3, s)
+
+    def plain_score(text):
+        total, found = 0.0, re.findall(r"[^\W_]+", (text or "").lower())
+        for w in found:
+            marked = "<" + w + ">"
+            pieces = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+            rows = [xxhash.xxh32_intdigest(g, s.seed) % s.buckets for g in pieces]
+            total += sum(float(model.table[r]) for r in rows) / len(rows)
+        return 1 / (1 + math.exp(-(model.bias + (total / len(found) if found else 0))))
+
+    docs = [*odd_rows(), (50, "x" * 65 + " " + "ab" * 40), (51, "a_b, Cd!")]
+    got = {(str(x["doc_id"]), round(x["score"], 6)) for x in toxicity.score(documents(spark, docs), model).collect()}
+    assert got == {(str(i), round(plain_score(t), 6)) for i, t in docs}
