@@ -145,7 +145,9 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = 0.05) -> Data
     Items are broadcast in blocks of at most BLOCK_CHARS characters, one pass over
     docs for each block. Null or empty texts and items match nothing; repeated
     rows of docs are judged each, repeated items once; null ids stay null; further
-    columns play no part.
+    columns play no part. There is no least length: an item of one word, whose budget
+    is zero, matches every text with that word; leave such items out of the table if
+    that is not wanted.
     """
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")

@@ -124,10 +124,11 @@ def compared(docs: DataFrame) -> DataFrame:
     the next row in descending doc_id (after the last, the first; a single row
     follows itself).
 
-    Null texts count as empty; equal ids are ordered by their texts; null ids come
-    last. An empty table gives an empty result. Further columns play no part.
+    Null texts count as empty; equal ids are ordered by the hash of their texts; null
+    ids come last. An empty table gives an empty result. Further columns play no part.
 
-    The rows are range-partitioned by id, which is the one shuffle of texts; a
+    The rows are range-partitioned by id, hash and row, so that no id (or null) fills
+    a task of its own, which is the one shuffle of texts; a
     row's next is then the next of its task. Only each task's last row has its
     next elsewhere: it waits for the first row of the next task that has rows.
     """
@@ -165,9 +166,10 @@ def compared(docs: DataFrame) -> DataFrame:
         if held:
             yield batch([], [(*first, task, "first"), (held[0], held[1], task, "last")])
 
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    near = cut(rows.repartitionByRange(parts(docs.sparkSession), order[0]).sortWithinPartitions(*order).mapInArrow(neighbours, f"{schema}, task int, place string, text binary"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    near = cut(rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(neighbours, f"{schema}, task int, place string, text binary"))
     tasks = sorted(r["task"] for r in near.where("place = 'first'").select("task").collect())  # one number for each task
     follows = {t: n for t, n in zip(tasks, tasks[1:] + tasks[:1], strict=True)}
     last = near.where("place = 'last'").select("doc_id", "text", "task")

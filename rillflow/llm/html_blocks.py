@@ -12,7 +12,8 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object"}
+#: Elements whose content a browser that runs scripts does not show as text of the page, or shows in a form.
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -23,7 +24,6 @@ BLOCK = {
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "button", "option", "figcaption", "caption"}
 #: An element that begins closes an open one of these, up to a boundary.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DEPTH = 256  # innermost elements around a block that are looked at
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 QUOTED_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 LABELS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -33,8 +33,9 @@ TOKEN = re.compile(r"[a-z]+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # ancestor tags, outermost first
-    labels: tuple[str, ...]  # tokens of their class, id and role
+    inside: str  # the innermost block element's tag
+    tags: frozenset[str]  # of all block elements around it
+    labels: tuple[str, ...]  # tokens of all ancestors' class, id and role, each once
     parent: int  # a number for the block element around its own (a heading, paragraph, item or cell)
     linked: int = 0  # characters inside links
     inline: int = 0  # inline elements that begin in it
@@ -45,6 +46,7 @@ class _Open:
     tag: str
     labels: tuple[str, ...]
     number: int
+    at: int  # its place on the stack
 
 
 @dataclass
@@ -57,6 +59,8 @@ class _Scan:
     links: int = 0
     count: int = 0
     open: Counter = field(default_factory=Counter)  # of each tag on the stack
+    boxes: list[_Open] = field(default_factory=list)  # the block elements on the stack
+    names: dict[str, int] = field(default_factory=dict)  # how many elements on the stack have a label
 
     def text(self, raw: str) -> None:
         if raw:
@@ -68,12 +72,10 @@ class _Scan:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                near = self.stack[-DEPTH:]
-                blocks = [e for e in near if e.tag in BLOCK]
-                path = tuple(e.tag for e in blocks)
-                labels = tuple(dict.fromkeys(x for e in near for x in e.labels))
-                around = blocks[:-1] if path and path[-1] in LEAF else blocks
-                self.found.append(Block(text, path, labels, around[-1].number if around else 0, min(self.linked, len(text)), self.inline))
+                inside = self.boxes[-1].tag if self.boxes else ""
+                around = self.boxes[-2:-1] if inside in LEAF else self.boxes[-1:]
+                tags = frozenset(t for t, n in self.open.items() if n and t in BLOCK)
+                self.found.append(Block(text, inside, tags, tuple(self.names), around[0].number if around else 0, min(self.linked, len(text)), self.inline))
             self.parts = []
         self.linked = self.inline = 0
 
@@ -81,7 +83,13 @@ class _Scan:
         for e in self.stack[at:]:
             self.links -= e.tag == "a"
             self.open[e.tag] -= 1
+            for x in e.labels:
+                self.names[x] -= 1
+                if not self.names[x]:
+                    del self.names[x]
         del self.stack[at:]
+        while self.boxes and self.boxes[-1].at >= at:
+            self.boxes.pop()
 
     def close(self, tags: set[str], within: set[str]) -> None:
         if not any(self.open[t] for t in tags):
@@ -107,10 +115,14 @@ class _Scan:
                 self.close({"a"}, BLOCK)
         if tag in VOID or closed and tag not in BLOCK and tag != "a":
             return
-        labels = tuple(t for m in LABELS.findall(attributes) for x in m if x for t in TOKEN.findall(x.lower())) if "=" in attributes else ()
+        labels = tuple({t: None for m in LABELS.findall(attributes) for x in m if x for t in TOKEN.findall(x.lower())}) if "=" in attributes else ()
         self.count += 1
-        self.stack.append(_Open(tag, labels, self.count))
+        self.stack.append(_Open(tag, labels, self.count, len(self.stack)))
         self.open[tag] += 1
+        if tag in BLOCK:
+            self.boxes.append(self.stack[-1])
+        for x in labels:
+            self.names[x] = self.names.get(x, 0) + 1
         self.links += tag == "a"
 
     def end(self, tag: str) -> None:

@@ -25,16 +25,16 @@ from rillflow.llm.html_blocks import Block, blocks
 def features(b: Block) -> list[str]:
     """Of ancestors and text; none names a word of the text."""
     n = b.text.count(" ") + 1
-    out = ["bias", f"in:{b.path[-1] if b.path else ''}", f"words:{min(6, n.bit_length())}"]
-    out += [f"tag:{t}" for t in set(b.path)]
+    out = ["bias", f"in:{b.inside}", f"words:{min(6, n.bit_length())}"]
+    out += [f"tag:{t}" for t in b.tags]
     out += [f"label:{x}" for x in b.labels]
     share = b.linked / len(b.text)
     out.append("links:none" if share == 0 else "links:some" if share < 0.5 else "links:most")
     if b.text[-1] in ".!?…":
         out.append("ends")
-    if "©" in b.text[:40] or "opyright" in b.text[:40]:
+    if b.text.startswith(("©", "(c)", "Copyright", "copyright")):
         out.append("copyright")
-    if not b.labels and not {"article", "main", "nav", "aside", "header", "footer", "form"} & set(b.path):
+    if not b.labels and not {"article", "main", "nav", "aside", "header", "footer", "form"} & b.tags:
         out.append("plain")
     return out
 

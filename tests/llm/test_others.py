@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import pytest
+import xxhash
 
 from rillflow.llm import backoff_lm, fuzzy, html_blocks, html_crf, html_samples, url_filter, warc
 from tests.llm.helpers import LONG, documents, odd_rows, prose
@@ -305,16 +306,44 @@ def test_rolling_hash_sees_the_window_only():
     assert (a[-2:] == b[-2:]).all() and not (a[:10] == b[:10]).any()
 
 
+def plain_fingerprint(text):
+    """Byte by byte, from the definition."""
+    data = text.encode()
+    rolls = []
+    for i in range(len(data)):
+        h = sum((data[i - back] + 1) * pow(0x01000193, back, 1 << 32) for back in range(min(7, i + 1))) % (1 << 32)
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % (1 << 32)
+        rolls.append(h ^ h >> 13)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signed(block):
+        out, start = "", 0
+        for i, h in enumerate(rolls):
+            if h % block == block - 1 or i == len(data) - 1:
+                out += symbols[xxhash.xxh32_intdigest(data[start : i + 1]) % 64]
+                start = i + 1
+        return out
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and sum(h % block == block - 1 for h in rolls) < 32:
+        block //= 2
+    return f"{block}:{signed(block)}:{signed(2 * block)}"
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 40])
 def test_compared_rows(spark, n):
     docs = [(i, prose(i, 5 + 3 * i)) for i in range(n)] + (odd_rows() if n == 40 else [])
     got = sorted(map(tuple, fuzzy.compared(documents(spark, docs)).collect()), key=str)
-    order = sorted(((i, t or "") for i, t in docs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(((i, t or "") for i, t in docs), key=lambda x: (x[0] is None, -(x[0] or 0), signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
     want = []
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
         cut = len(t) // 3
         other = t[: len(t) - cut] + nxt[:cut]
-        a, b, c = map(fuzzy.fingerprint, (t, other, nxt))
+        a, b, c = map(plain_fingerprint, (t, other, nxt))
         want.append((i, len(t), hashlib.sha256(other.encode()).hexdigest(), a, b, fuzzy.likeness(a, b), fuzzy.likeness(a, c)))
     assert got == sorted(want, key=str)
