@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
+SLICE = 256  # rows that a task works on at a time, as a batch of long texts is large already
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +53,9 @@ def per_batch(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
-        for batch in batches:
-            if batch.num_rows:
+        for some in batches:
+            for at in range(0, some.num_rows, SLICE):
+                batch = some.slice(at, SLICE)
                 cols = each(batch)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip((cols[f.name] for f in arrow), arrow, strict=True)], schema=arrow)
 
