@@ -54,7 +54,7 @@ SAME: dict[str, tuple[tuple[str, ...], str]] = {
     "expr_case": (("orders",), "select o_orderkey, case when o_totalprice > 100000 then 'big' when o_totalprice > 50000 then 'mid' else 'small' end as size from orders"),
     "count_star_group": (("lineitem",), "select l_returnflag, count(*) as n from lineitem group by l_returnflag"),
     "count_col_group": (("customer",), "select c_nationkey, count(v) as n from (select c_nationkey, nullif(c_mktsegment, 'BUILDING') as v from customer) t group by c_nationkey"),
-    "avg_group": (("orders",), "select o_orderpriority, round(cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*), 6) as mean from orders group by o_orderpriority"),
+    "avg_group": (("orders",), "select o_orderpriority, round(avg(o_totalprice), 4) as mean from orders group by o_orderpriority"),
     "min_group": (("lineitem",), "select l_returnflag, min(l_extendedprice) as low from lineitem group by l_returnflag"),
     "max_group": (("lineitem",), "select l_shipmode_key, max(l_extendedprice) as high from (select l_linenumber as l_shipmode_key, l_extendedprice from lineitem) t group by l_shipmode_key"),
     "multi_agg": (("lineitem",), "select l_returnflag, cast(sum(cast(l_quantity as decimal(18,2))) as double) as q, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as p, count(*) as n, min(l_tax) as low, max(l_tax) as high from lineitem group by l_returnflag"),
@@ -109,7 +109,7 @@ PAIRS: dict[str, tuple[tuple[str, ...], str, str]] = {
     "session_sum": (("events",), f"select user_id, sum({MONEY}) as v from events group by user_id, session(ms, interval '30' minute)", _SESSION.format(f"sum({MONEY})::decimal(28,2) as v")),
     "tumble_join": (("events", "customer"), "select c.c_mktsegment as seg, count(*) as v from events e join customer c on e.user_id = c.c_custkey group by c.c_mktsegment, tumble(e.ms, interval '1' day)", f"select c_mktsegment as seg, count(*) as v, ms - ms % 86400000 as __window_start, ms - ms % 86400000 + 86400000 as __window_end from {EVENTS} join customer on user_id = c_custkey group by all"),
     "frame_groups": (("orders",), f"select o_orderkey, sum(cast(o_totalprice as decimal(18,2))) over (partition by o_custkey order by o_orderpriority groups between 1 preceding and current row) as v from orders", "select o_orderkey, sum(cast(o_totalprice as decimal(18,2))) over (partition by o_custkey order by o_orderpriority groups between 1 preceding and current row)::decimal(28,2) as v from orders"),
-    "frame_range_interval": (("events",), f"select event_id, sum({MONEY}) over (partition by user_id order by ms range between 3600000 preceding and current row) as v from events", f"select event_id, sum({MONEY}) over (partition by user_id order by ms range between 3600000 preceding and current row)::decimal(28,2) as v from {EVENTS}"),
+    "frame_range_interval": (("events",), f"select event_id, sum({MONEY}) over (partition by user_id order by ms range between interval '1' hour preceding and current row) as v from events", f"select event_id, sum({MONEY}) over (partition by user_id order by ms range between 3600000 preceding and current row)::decimal(28,2) as v from {EVENTS}"),
 }
 
 

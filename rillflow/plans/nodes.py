@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, is_dataclass
 
 AGGREGATES = ("sum", "count", "avg", "min", "max")
 
 
+def _text(value) -> str:
+    if isinstance(value, tuple):
+        return "(" + ",".join(map(_text, value)) + ")"
+    if is_dataclass(value):
+        return f"{type(value).__name__}({','.join(_text(getattr(value, f.name)) for f in fields(value))})"
+    if callable(value):
+        return f"{value.__module__}.{value.__qualname__}#{getattr(value, 'version', 0)}"
+    return repr(value)
+
+
 @dataclass(frozen=True)
 class Node:
     @property
@@ -21,7 +31,10 @@ class Node:
         return list(dict.fromkeys(own + [s for i in self.inputs for s in i.sources()]))
 
     def key(self) -> str:
-        return hashlib.sha256(repr(self).encode()).hexdigest()
+        """The same in every process: a function counts by its module and qualified name
+        and, if it has one, its attribute `version`, which its author raises when its
+        results change."""
+        return hashlib.sha256(_text(self).encode()).hexdigest()
 
 
 @dataclass(frozen=True)

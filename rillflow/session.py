@@ -18,8 +18,11 @@ def session(app: str = "rillflow", **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there. A cluster
     names the folder in spark.checkpoint.dir; where that is unset, a temporary one
-    is used."""
+    is used, if all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillflow-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="rillflow-"))
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -9,16 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from rillflow.functions.zset import weighted
+from rillflow.session import cut
 
 HINTS = {"int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "bool": T.BooleanType()}
 
 
 class Source(Protocol):
-    def batches(self) -> Iterator[DataFrame]: ...
+    #: what the last batch came from, if that is files; those are read once
+    origin: str | None
+
+    def batches(self, done=()) -> Iterator[DataFrame]:
+        """Without the files of which done has the origin."""
 
     def close(self) -> None: ...
 
 
+def origin_of(spark: SparkSession, df: DataFrame) -> str:
+    """Names the files that df reads, as they are now: paths, sizes, times."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    seen = []
+    for f in sorted(df.inputFiles()):
+        at = path(f)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+
+
 def schema_of(hints: dict[str, str], header: list[str] | None = None) -> T.StructType:
     """Columns without a hint are strings."""
     names = header or list(hints)
@@ -37,8 +54,11 @@ class CsvSource:
         header = spark.read.option("header", True).csv(path).columns
         self.schema = schema_of(hints or {}, header)
 
-    def batches(self) -> Iterator[DataFrame]:
-        yield weighted(self.spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(self.schema).csv(self.path))
+    def batches(self, done=()) -> Iterator[DataFrame]:
+        df = weighted(self.spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(self.schema).csv(self.path))
+        self.origin = origin_of(self.spark, df)
+        if self.origin not in done:
+            yield df
 
     def close(self) -> None:
         pass
@@ -51,8 +71,11 @@ class ParquetSource:
         self.spark, self.path = spark, path
         self.schema = spark.read.parquet(path).schema
 
-    def batches(self) -> Iterator[DataFrame]:
-        yield weighted(self.spark.read.parquet(self.path))
+    def batches(self, done=()) -> Iterator[DataFrame]:
+        df = weighted(self.spark.read.parquet(self.path))
+        self.origin = origin_of(self.spark, df)
+        if self.origin not in done:
+            yield df
 
     def close(self) -> None:
         pass
@@ -89,13 +112,13 @@ class ChainSource:
         self.sources, self.on_error, self.errors = sources, on_error, []
         self.schema = sources[0].schema if sources else None
 
-    def batches(self) -> Iterator[DataFrame]:
+    def batches(self, done=()) -> Iterator[DataFrame]:
         for s in self.sources:
             try:
-                for batch in s.batches():
+                for batch in s.batches(done):
+                    self.origin = getattr(s, "origin", None)
                     if self.on_error == "skip":
-                        batch = batch.cache()
-                        batch.count()  # so that what is wrong with it shows here
+                        batch = cut(batch)  # so that what is wrong with it shows here
                     yield batch
             except Exception as e:
                 if self.on_error == "stop":

@@ -100,7 +100,9 @@ class HttpSource:
                     break
         return rows
 
-    def batches(self) -> Iterator[DataFrame]:
+    origin = None
+
+    def batches(self, done=()) -> Iterator[DataFrame]:
         while rows := self._take():
             yield self.spark.createDataFrame(rows, self.schema)
 

@@ -37,7 +37,7 @@ class IncrementalQuery:
     def sources(self) -> list[str]:
         return self.plan.sources()
 
-    def tick(self, deltas: dict[str, DataFrame], number: int | None = None) -> DataFrame:
+    def tick(self, deltas: dict[str, DataFrame], number: int | None = None, position: dict[str, int] | None = None) -> DataFrame:
         store = self.store
         number = store.version + 1 if number is None else number
         if number == store.version:
@@ -47,7 +47,7 @@ class IncrementalQuery:
         mine = {k: consolidate(d) for k, d in deltas.items() if k in self.sources}
         store.begin()
         out = store.output(consolidate(Delta(store, mine, self.empty).of(self.plan)))
-        store.commit(number)
+        store.commit(number, position)
         return out
 
 

@@ -114,8 +114,12 @@ def sink_of(c: dict) -> sinks.Sink:
 
 class Pipeline:
     """Runs a configuration. Ticks are numbered, their state is versioned and their
-    output kept with it: after a stop, the next run goes on with the version that
-    was committed last, and writes its output again if the sink may have missed it."""
+    output kept with it, and so is which files they have read:
+    after a stop, the next run writes the last output again if the sink may have missed
+    it, skips what was read, and goes on. A batch that a csv or parquet source has given
+    is not read again, also by a second run of the same configuration; files that keep
+    coming are for json_dir. Rows that an http source took but no tick has read are lost
+    with the driver. With a watermark or join_ttl, state lives as long as the run."""
 
     def __init__(self, spark: SparkSession, config: Config, sink: sinks.Sink | None = None):
         self.spark, self.config = spark, config
@@ -161,7 +165,12 @@ class Pipeline:
             node = node.inputs[0]
         return above, node, ExpiringJoin(node.on, self.config.join_ttl)
 
-    def _tick(self, name: str, batch: DataFrame, number: int) -> DataFrame:
+    def _send(self, out: DataFrame, number: int) -> None:
+        self.sink.write(out)
+        if not (self.marked or self.ttl):
+            self.query.store.mark_sent(number)
+
+    def _tick(self, name: str, batch: DataFrame, number: int, read: dict[str, int] | None = None) -> DataFrame:
         if self.marked:
             above, window, state = self.marked
             if "__seq" not in batch.columns:
@@ -180,14 +189,20 @@ class Pipeline:
             for n in reversed(above):
                 out = unary(n, out)
             return out
-        return self.query.tick({name: batch}, number)
+        return self.query.tick({name: batch}, number, read)
 
-    def batches(self) -> Iterator[tuple[str, DataFrame]]:
+    def batches(self, read: dict[str, int] | None = None) -> Iterator[tuple[str, DataFrame, dict[str, int]]]:
+        """(table, batch, origins that have been read with it), without files that
+        read has."""
+        read = dict(read or {})
         for name, s in self.sources.items():
-            for b in s.batches():
+            mine = {k.partition(" ")[2] for k in read if k.startswith(f"{name} ")}
+            for b in s.batches(mine):
                 if self.stopped:
                     return
-                yield name, b
+                if getattr(s, "origin", None):
+                    read[f"{name} {s.origin}"] = 1
+                yield name, b, dict(read)
 
     def run(self, once: bool = True) -> int:
         """Runs until the sources are exhausted or stop() is called; returns the
@@ -203,15 +218,20 @@ class Pipeline:
                 def each(batch: DataFrame, n: int) -> None:
                     nonlocal ticks
                     ticks += 1
-                    self.sink.write(self._tick(name, batch, n))
+                    self._send(self._tick(name, batch, n), n)
 
                 self.running = source.run(each, f"{self.config.state}/stream", once)
                 self.running.awaitTermination()
                 return ticks
-            start = 0 if self.marked or self.ttl else self.query.store.version + 1
-            for n, (name, batch) in enumerate(self.batches(), start):
-                self.sink.write(self._tick(name, batch, n))
+            store = None if self.marked or self.ttl else self.query.store
+            if store and store.version > store.sent:
+                self._send(store.last_output(), store.version)
+            for n, (name, batch, read) in enumerate(self.batches(store.position if store else None), store.version + 1 if store else 0):
+                self._send(self._tick(name, batch, n, read), n)
                 ticks += 1
+            late = self.marked[2].reprocess_late() if self.marked else None
+            if late is not None:
+                self.sink.write(late)
             return ticks
         finally:
             self.sink.close()

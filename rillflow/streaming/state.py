@@ -32,6 +32,31 @@ class StateStore:
         """The last tick that counts; -1 before the first."""
         return self.manifest["version"]
 
+    @property
+    def position(self) -> dict[str, int]:
+        """The files, by table and origin, that the versions so far have read."""
+        return self.manifest.get("position") or {}
+
+    @property
+    def sent(self) -> int:
+        """The last version whose output the sink has."""
+        at = self._path(f"{self.path}/sent")
+        if not self._fs.exists(at):
+            return -1
+        stream = self._fs.open(at)
+        try:
+            return int(bytes(stream.readAllBytes()).decode() or -1)
+        finally:
+            stream.close()
+
+    def mark_sent(self, version: int) -> None:
+        self._put(self._path(f"{self.path}/sent"), str(version))
+
+    def _put(self, at, text: str) -> None:
+        stream = self._fs.create(at, True)
+        stream.write(text.encode())
+        stream.close()
+
     def _load(self) -> dict:
         found = self._fs.globStatus(self._path(f"{self.path}/manifest-*.json"))
         names = sorted(str(f.getPath().getName()) for f in found) if found is not None else []
@@ -68,14 +93,13 @@ class StateStore:
         self.staged["output"] = at
         return written
 
-    def commit(self, version: int) -> None:
+    def commit(self, version: int, position: dict[str, int] | None = None) -> None:
+        """position: the files that this version and those before have read."""
         output = self.staged.pop("output", None)
         old = dict(self.manifest["tables"])
-        self.manifest = {"version": version, "plan": self.plan_key, "tables": old | self.staged, "output": output}
+        self.manifest = {"version": version, "plan": self.plan_key, "tables": old | self.staged, "output": output, "position": position or self.position}
         temporary = self._path(f"{self.path}/.manifest-{uuid.uuid4().hex}")
-        stream = self._fs.create(temporary, True)
-        stream.write(json.dumps(self.manifest).encode())
-        stream.close()
+        self._put(temporary, json.dumps(self.manifest))
         if not self._fs.rename(temporary, self._path(f"{self.path}/manifest-{version:012d}.json")):
             raise RuntimeError(f"version {version} exists already")
         self._fs.delete(self._path(f"{self.path}/tables/tick"), True)

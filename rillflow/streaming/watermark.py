@@ -50,7 +50,9 @@ def classify(df: DataFrame, sequence: str, time: str, disorder: int, lateness: i
     for part in sorted(tops):
         before[part] = top
         top = tops[part] if top is None else top if tops[part] is None else max(top, tops[part])
-    earlier = F.coalesce(*[F.when(F.col("__range") == p, F.lit(b)) for p, b in before.items()], F.lit(None)).cast("long") if before else F.lit(None).cast("long")
+    known = {p: b for p, b in before.items() if b is not None}
+    earlier = F.element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]), F.col("__range")) if known else F.lit(None)
+    earlier = earlier.cast("long")
     running = F.max(t).over(Window.partitionBy("__range").orderBy(sequence).rowsBetween(Window.unboundedPreceding, 0))
     mark = F.greatest(earlier, running) - disorder
     kind = F.when(t < mark - lateness, "dropped").when(t < mark, "late").otherwise("ontime")
@@ -59,8 +61,9 @@ def classify(df: DataFrame, sequence: str, time: str, disorder: int, lateness: i
 
 class WatermarkWindow:
     """A time-window aggregate with a late policy: `drop` ignores late rows, `emit`
-    adds them in a second pass whose rows are marked __late, `buffer` keeps them
-    for reprocess_late(). Each tick returns result changes; its state is the rows
+    adds them in a second pass whose rows are marked __late, `buffer` keeps them, all
+    of them, in a table aside for reprocess_late(); once it holds more than
+    max_buffer_size rows, the tick adds them itself. Each tick returns result changes; its state is the rows
     of the windows that may still change."""
 
     def __init__(self, node, config: WatermarkConfig, sequence: str = "__seq"):
@@ -68,7 +71,6 @@ class WatermarkWindow:
         self.rows: DataFrame | None = None
         self.buffer: DataFrame | None = None
         self.top: int | None = None
-        self.lost = 0
 
     @property
     def watermark(self) -> int:
@@ -98,9 +100,9 @@ class WatermarkWindow:
             out = union(out, self._add(late, True))
         elif c.policy == "buffer":
             held = late if self.buffer is None else union(self.buffer, late)
-            n = held.count()
-            self.lost += max(0, n - c.max_buffer_size)
-            self.buffer = cut(held.orderBy(self.sequence).limit(c.max_buffer_size))
+            self.buffer = cut(held)
+            if self.buffer.count() > c.max_buffer_size:
+                out = union(out, self.reprocess_late())
         out = cut(out)
         self._collect()
         return out

@@ -130,3 +130,26 @@ def test_an_aggregate_of_ones_own(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "k string, v long, __count long")
     assert bag(q.tick({"t": rows(("a", 1, 1), ("a", 3, 1), ("b", 5, 2))})) == [("('a', 2.0)", 1), ("('b', 5.0)", 1)]
     assert bag(q.tick({"t": rows(("a", 3, -1), ("a", 9, 2))})) == [("('a', 2.0)", -1), ("('a', 9.0)", 1)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("select k, sum(v) as s from t group by k having sum(v) > 3", [("b", 5)]),
+    ("select k, sum(v) + count(*) as s, max(v) as m from t group by k having min(v) < 2", [("a", 5, 2)]),
+    ("select k, round(avg(v), 1) as s from (select k, v from t where v > 1) x group by k", [("a", 2.0), ("b", 5.0)]),
+    ("select k, v + lag(v, 1, 0) over (partition by k order by v) as s, count(*) over (partition by k) as n from t", [("a", 1, 2), ("a", 3, 2), ("b", 5, 1)]),
+])
+def test_expressions_over_aggregates_and_windows(spark, text, want):
+    from rillflow.plans.sql import plan
+    from rillflow.plans.view import view
+
+    t = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, v long")
+    assert sorted(map(tuple, view(plan(text), {"t": t}).collect())) == want
+
+
+def test_plan_keys_are_stable():
+    import subprocess
+    import sys
+
+    code = "from rillflow.plans import nodes as N\nfrom rillflow.functions import zset\nprint(N.Map(N.Scan('t'), zset.weighted).key())"
+    keys = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout for _ in range(2)}
+    assert len(keys) == 1 and len(keys.pop().strip()) == 64

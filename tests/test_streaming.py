@@ -240,3 +240,33 @@ def test_sinks(spark, tmp_path):
     assert cache.check("q", df.schema) == df.schema == cache.check("q", df.limit(0).select("z").schema)
     with pytest.raises(ValueError):
         cache.check("other", df.schema)
+
+
+def test_csv_is_read_once_and_lost_output_is_sent_again(spark, tmp_path):
+    path = csv(tmp_path, "1.csv", "k,v\na,1\nb,5\n")
+    raw = {"source": {"type": "csv", "config": {"path": path, "schema": {"v": "int"}}}, "transform": {"type": "sql", "query": "select k, sum(v) as s from t group by k having sum(v) > 0"}, "sink": {"type": "console"}, "state": {"path": str(tmp_path / "state")}}
+    first, again = Kept(), Kept()
+    assert Pipeline(spark, Config.load(raw), first).run() == 1
+    assert Pipeline(spark, Config.load(raw), again).run() == 0 and not again.out
+
+    class Broken(Kept):
+        def write(self, batch):
+            raise OSError("the sink is away")
+
+    raw["source"]["config"]["path"] = csv(tmp_path, "2.csv", "k,v\na,2\n")
+    with pytest.raises(OSError):
+        Pipeline(spark, Config.load(raw), Broken()).run()
+    last = Kept()
+    assert Pipeline(spark, Config.load(raw), last).run() == 0
+    assert bag(union(*first.out, *last.out)) == [(("a", 3), 1), (("b", 5), 1)]
+
+
+def test_late_rows_beyond_the_buffer_are_added(spark):
+    from rillflow.plans import nodes as N
+    from rillflow.streaming.watermark import WatermarkConfig, WatermarkWindow
+
+    node = N.TimeWindow(N.Scan("t"), "tumble", "ts", 10, 10, (), (N.Agg("count", "*", "n"),))
+    w = WatermarkWindow(node, WatermarkConfig(True, 0, 10**6, "buffer", 2))
+    rows = spark.createDataFrame([(1, 100), (2, 5), (3, 6), (4, 7), (5, 100)], "__seq long, ts long")
+    out = {(r["__window_start"], r["n"], r["__late"]) for r in w.tick(rows).where("__count > 0").collect()}
+    assert out == {(100, 2, False), (0, 3, True)} and w.buffer is None
