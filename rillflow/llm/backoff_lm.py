@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut, mix64, parts
 
-VOCABULARY = 50_000  # words with a short entry: what is broadcast has this bound
+VOCABULARY = 100_000  # words with a short entry: what is broadcast has this bound
 ALPHA = 0.4
 START, FIRST = 0, 1  # entries: before the first word, the first word's
 HOT = 4  # a bigram that might fill as many parts is spread
@@ -202,41 +203,84 @@ def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: i
     return rows.mapInArrow(run, "part int, kind int, pack binary")
 
 
-def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float) -> DataFrame:
-    """(entry, row, doc_id, n, both, less, back, log) from packs dealt by part. A line
-    whose entry is negative waits for that entry's count, to be taken `less` from: n
-    bigrams of the row that are `both` times in the corpus, or not at all (0). Any other
-    line (its entry is the row) has sums of the row: n words, of which `back` backed off,
-    with log in units of 1e-9 (but for the number of words, which backing off divides
-    by), or n = 0 and the row's id."""
+def nano_log(x):
+    """The logarithm in units of 1e-9, rounded."""
+    return np.rint(np.log(x) * 1e9).astype(np.int64)
+
+
+class Sums:
+    """Sums by row: (n words, of which `back` backed off, log, doc_id, 1 if it has one;
+    the last two in one line of a row only). Taken out as packs for as many targets, a
+    block of rows' target being a function of it."""
+
+    def __init__(self, targets: int):
+        self.targets, self.held, self.size = targets, [], 0
+
+    def add(self, row, n, back, log, ids=None, some=None) -> None:
+        zero = np.zeros(len(row), np.int64)
+        self.held.append((row, n, back, log, zero if ids is None else ids, zero if some is None else some))
+        self.size += len(row)
+
+    def add_pack(self, pack: bytes) -> None:
+        delta, *more = unpacked(pack, 6)
+        self.add(np.cumsum(delta), *more)
+
+    def take(self) -> list[np.ndarray]:
+        row, *sums = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else np.zeros((6, 0), np.int64)
+        self.held, self.size = [], 0
+        order = np.argsort(row, kind="stable")
+        first = np.flatnonzero(np.diff(row[order], prepend=-1))
+        return [row[order][first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)]
+
+    def packs(self) -> tuple[list[int], list[bytes]]:
+        row, *sums = self.take()
+        target = (mix64((row >> 10).view(np.uint64)) % np.uint64(self.targets)).view(np.int64)
+        order = np.lexsort((row, target))
+        row, target = row[order], target[order]
+        edges = [0, *(np.flatnonzero(np.diff(target)) + 1).tolist(), len(row)]
+        spans = [(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo]
+        return [int(target[lo]) for lo, _ in spans], [packed([np.diff(row[lo:hi], prepend=0), *[c[order[lo:hi]] for c in sums]]) for lo, hi in spans]
+
+
+def nano_log(x):
+    """The logarithm in units of 1e-9, rounded."""
+    return np.rint(np.log(x) * 1e9).astype(np.int64)
+
+
+def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float, targets: int) -> DataFrame:
+    """(entry, row, x, pack) from packs dealt by part. A line whose entry is negative
+    waits for that entry's count: the row's score has `times` logarithms of it, once
+    `less` is taken off; x is both in one number. Any other line has sums of rows (the
+    entry is their target), but for the number of words, which backing off divides by."""
     shared = packs.sparkSession.sparkContext.broadcast(np.array(unigrams, np.int64))
-    names = ["entry", "row", "doc_id", "n", "both", "less", "back", "log"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, sums = shared.value, Sums(targets)
 
-        def lines(entry, row, n, both=None, less=None, back=None, log=None, ids=None) -> pa.RecordBatch:
-            zero = np.zeros(len(row), np.int64)
-            rest = [pa.array(zero if x is None else x, pa.int64()) for x in (n, both, less, back, log)]
-            return pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(row, pa.int64()), pa.nulls(len(row), pa.int64()) if ids is None else ids, *rest], names)
+        def lines(entry, row, x, pack) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (entry, row, x)), pa.array(pack, pa.binary())], ["entry", "row", "x", "pack"])
 
-        def summed(done: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            row, *sums = (np.concatenate(x) for x in zip(*done, strict=True))
-            order = np.argsort(row, kind="stable")
-            row = row[order]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            n, back, log = (np.add.reduceat(x[order], first) for x in sums)
-            return lines(row[first], row[first], n, back=back, log=log)
+        def waiting(entry, row, less, times) -> pa.RecordBatch:
+            order = np.lexsort((row, entry))  # like entries together, as they compress
+            entry, row, less, times = (c[order] for c in (entry, row, less, times))
+            first = np.flatnonzero((np.diff(entry, prepend=~entry[:1]) != 0) | (np.diff(row, prepend=-1) != 0))
+            times = np.add.reduceat(times, first)
+            some = first[times != 0]
+            return lines(entry[some], row[some], (less[some] << 32) + times[times != 0] + (1 << 31), [None] * len(some))
+
+        def summed() -> pa.RecordBatch:
+            at, found = sums.packs()
+            return lines(at, [0] * len(at), [0] * len(at), found)
 
         held = defaultdict(list)
         for batch in batches:
             for part, kind, pack in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind == ROWS:
                     row, ids, some = unpacked(pack, 3)
-                    yield lines(row, row, np.zeros(len(row), np.int64), ids=pa.array(ids, pa.int64(), mask=some == 0))
+                    zero = np.zeros(len(row), np.int64)
+                    sums.add(row, zero, zero, zero, ids, some)
                 else:
                     held[part].append((kind, pack))
-        done, size = [], 0
         for part in list(held):
             columns, kinds = [], []
             for kind, pack in held.pop(part):
@@ -248,31 +292,70 @@ def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float) ->
             key = bigram_key(a, b)
             order = np.argsort(key)
             first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-            sums = np.add.reduceat(np.where(kind == SCORED, 0, n)[order], first)
+            added = np.add.reduceat(np.where(kind == SCORED, 0, n)[order], first)
             both = np.empty(len(key), np.int64)
-            both[order] = np.repeat(sums, np.diff(first, append=len(key)))
+            both[order] = np.repeat(added, np.diff(first, append=len(key)))
             scored = kind != COUNTED
             row, a, b, n, both, own_a, own_b = (c[scored] for c in (row, a, b, n, both, own_a, own_b))
             both = both - n if own else both
             seen = both > 0
-            entry, less = np.where(seen, a, b), np.where(seen, own_a, own_b)
+            entry, less, times = np.where(seen, a, b), np.where(seen, own_a, own_b), np.where(seen, -n, n)
+            log = n * np.where(seen, nano_log(np.maximum(both, 1)), nano_log(alpha))
             rare = entry < 0
             if rare.any():
-                at = np.flatnonzero(rare)
-                at = at[np.lexsort((row[at], entry[at]))]  # like entries together, as they compress
-                yield lines(entry[at], row[at], n[at], both[at], less[at])
-            row, n, both, entry, less, seen = (c[~rare] for c in (row, n, both, entry, less, seen))
-            count = np.maximum(counts[entry] - less, 1)
-            log = np.log(np.where(seen, both / count, alpha * count))
-            done.append((row, n, np.where(seen, 0, n), np.rint(log * 1e9).astype(np.int64) * n))
-            size += len(row)
-            if size >= 2_000_000:
-                yield summed(done)
-                done, size = [], 0
-        if size:
-            yield summed(done)
-
-    return packs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+                yield waiting(*(c[rare] for c in (entry, row, less, times)))
+            log += np.where(rare, 0, times * nano_log(np.maximum(counts[np.maximum(entry, 0)] - less, 1)))
+            sums.add(row, n, np.where(seen, 0, n), log)
+            if sums.size >= 4_000_000:
+                yield summed()
+        if sums.size:
+            yield summed()
+
+    return packs.mapInArrow(run, "entry long, row long, x long, pack binary")
+
+
+def regrouped(found: DataFrame, targets: int) -> DataFrame:
+    """(target int, pack) with sums of rows, from (row, log, pack): packs of sums, or a
+    row with a logarithm that has waited."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(targets)
+
+        def out() -> pa.RecordBatch:
+            at, packs = sums.packs()
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(packs, pa.binary())], ["target", "pack"])
+
+        for batch in batches:
+            whole = batch.column(2).is_valid()
+            for pack in batch.column(2).filter(whole).to_pylist():
+                sums.add_pack(pack)
+            single = batch.filter(pa.compute.invert(whole))
+            row, log = (single.column(i).to_numpy() for i in range(2))
+            zero = np.zeros(len(row), np.int64)
+            sums.add(row, zero, zero, log)
+            if sums.size >= 4_000_000:
+                yield out()
+        if sums.size:
+            yield out()
+
+    return found.mapInArrow(run, "target int, pack binary")
+
+
+def finished(packs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, back, log) of each row, from its target's packs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = Sums(1), defaultdict(list)
+        for batch in batches:
+            for target, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[target].append(pack)
+        for target in list(held):
+            for pack in held.pop(target):
+                sums.add_pack(pack)
+            _, n, back, log, ids, some = sums.take()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=some == 0), *(pa.array(c, pa.int64()) for c in (n, back, log))], ["doc_id", "n_words", "back", "log"])
+
+    return packs.mapInArrow(run, "doc_id long, n_words long, back long, log long")
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, short: int = VOCABULARY) -> DataFrame:
@@ -297,14 +380,13 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
     n_parts = parts(spark)
     deal = lambda df, kind: bigrams(df, entries, unigrams, total, own, kind, 3 * n_parts)
     packs = deal(docs, ALL) if own else deal(docs, SCORED).union(deal(corpus, COUNTED))
-    found = looked_up(packs.repartition(n_parts, "part"), unigrams, own, alpha).join(rare, "entry", "left")
+    targets = 3 * n_parts
+    found = looked_up(packs.repartition(n_parts, "part"), unigrams, own, alpha, targets).join(rare, "entry", "left")
     # a word that the table lacks occurs once at most, and counts as once
-    waits, seen = F.col("entry") < 0, F.col("both") > 0
-    count = F.greatest(F.coalesce("count", F.lit(1)) - F.col("less"), F.lit(1))
-    value = F.when(seen, F.col("both") / count).otherwise(F.lit(alpha) * count)
-    logs = F.when(waits, F.rint(F.log(value) * 1e9).cast("long") * F.col("n")).otherwise(F.col("log"))
-    back = F.when(waits, F.when(seen, 0).otherwise(F.col("n"))).otherwise(F.col("back"))
-    summed = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum(back).alias("back"), F.sum(logs.cast("decimal(18,0)")).alias("log"))
+    times, less = F.col("x").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31), F.shiftright("x", 32)
+    log = times * F.rint(F.log(F.greatest(F.coalesce("count", F.lit(1)) - less, F.lit(1))) * 1e9).cast("long")
+    packs = regrouped(found.select("row", F.when(F.col("entry") < 0, log).otherwise(0).alias("log"), "pack"), targets)
+    summed = finished(packs.repartition(n_parts, "target")).withColumn("log", F.col("log").cast("decimal(19,0)"))
     words_ = F.greatest(F.lit(total) - (F.col("n_words") if own else F.lit(0)), F.lit(1))
     whole = F.col("log") - F.col("back").cast("decimal(18,0)") * F.rint(F.log(words_) * 1e9).cast("decimal(18,0)")
     scored = summed.withColumn("log_score", F.round((whole / F.lit(10**9).cast("decimal(10,0)")).cast("double"), 6))
@@ -321,8 +403,8 @@ pairs as (select r, size, coalesce(lag(word) over (partition by r order by i), '
 own2 as (select r, a, b, size, own_a, own_b, count(*) n from pairs group by all),
 all2 as (select a, b, sum(n) n from own2 group by a, b),
 all1 as (select word, count(*) n from tokens group by word union all select '', count(*) from t where len(w) > 0),
-scored as (select r, own2.n, (case when all2.n > own2.n then round(ln((all2.n - own2.n) / (ca.n - own_a)), 9)
-    else round(ln({alpha} * greatest(cb.n - own_b, 1)), 9) - round(ln(greatest((select count(*) from tokens) - size, 1)), 9) end)::decimal(18,9) v
+scored as (select r, own2.n, (case when all2.n > own2.n then round(ln(all2.n - own2.n), 9) - round(ln(ca.n - own_a), 9)
+    else round(ln({alpha}), 9) + round(ln(greatest(cb.n - own_b, 1)), 9) - round(ln(greatest((select count(*) from tokens) - size, 1)), 9) end)::decimal(18,9) v
     from own2 join all2 using (a, b) join all1 ca on ca.word = own2.a join all1 cb on cb.word = own2.b),
 summed as (select r, sum(n) n, round(sum(v * n)::double, 6) s from scored group by r)
 select doc_id, coalesce(n, 0)::bigint n_words, coalesce(s, 0)::double log_score, case when n > 0 then round(s / n, 6) end mean_log_score from t left join summed using (r)"""

@@ -20,12 +20,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    local tests, a temporary folder takes its place.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and all
+    runs on this machine, as in tests, a temporary folder takes its place.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext.getCheckpointDir()
+        if not own and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         at = own or tempfile.mkdtemp(prefix="rillflow-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
