@@ -37,6 +37,7 @@ START, FIRST = 0, 1  # entries: before the first word, the first word's
 HOT = 4  # a bigram that might fill as many parts is spread
 SEED, HIGH = 42, -(1 << 63)  # hashed entries are negative
 PACK = 400_000  # words in packs at a time
+HELD = 1_000_000  # lines of row sums that a task holds
 ALL, SCORED, COUNTED, ROWS = 0, 1, 2, 3  # packs: bigrams to count and score, to score, to count; rows with their ids
 
 
@@ -220,6 +221,9 @@ class Sums:
         zero = np.zeros(len(row), np.int64)
         self.held.append((row, n, back, log, zero if ids is None else ids, zero if some is None else some))
         self.size += len(row)
+        if self.size >= HELD // 2 and len(self.held) > 1:
+            self.held = [tuple(self.take())]
+            self.size = len(self.held[0][0])
 
     def add_pack(self, pack: bytes) -> None:
         delta, *more = unpacked(pack, 6)
@@ -289,24 +293,29 @@ def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float, ta
                 kinds.append(np.full(len(delta), kind, np.int8))
             row, a, b, n, own_a, own_b = (np.concatenate(x) for x in zip(*columns, strict=True))
             kind = np.concatenate(kinds)
+            del columns, kinds
             key = bigram_key(a, b)
             order = np.argsort(key)
-            first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
             added = np.add.reduceat(np.where(kind == SCORED, 0, n)[order], first)
             both = np.empty(len(key), np.int64)
             both[order] = np.repeat(added, np.diff(first, append=len(key)))
-            scored = kind != COUNTED
-            row, a, b, n, both, own_a, own_b = (c[scored] for c in (row, a, b, n, both, own_a, own_b))
+            del key, order, first, added
+            if (kind == COUNTED).any():
+                scored = kind != COUNTED
+                row, a, b, n, both, own_a, own_b = (c[scored] for c in (row, a, b, n, both, own_a, own_b))
             both = both - n if own else both
             seen = both > 0
             entry, less, times = np.where(seen, a, b), np.where(seen, own_a, own_b), np.where(seen, -n, n)
+            del a, b, own_a, own_b
             log = n * np.where(seen, nano_log(np.maximum(both, 1)), nano_log(alpha))
             rare = entry < 0
             if rare.any():
                 yield waiting(*(c[rare] for c in (entry, row, less, times)))
             log += np.where(rare, 0, times * nano_log(np.maximum(counts[np.maximum(entry, 0)] - less, 1)))
             sums.add(row, n, np.where(seen, 0, n), log)
-            if sums.size >= 4_000_000:
+            if sums.size >= HELD:
                 yield summed()
         if sums.size:
             yield summed()
@@ -333,7 +342,7 @@ def regrouped(found: DataFrame, targets: int) -> DataFrame:
             row, log = (single.column(i).to_numpy() for i in range(2))
             zero = np.zeros(len(row), np.int64)
             sums.add(row, zero, zero, log)
-            if sums.size >= 4_000_000:
+            if sums.size >= HELD:
                 yield out()
         if sums.size:
             yield out()
