@@ -238,6 +238,22 @@ INCREMENTAL = {
         _incremental("select o_orderkey, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as prev from orders", {"orders": ("o_orderkey", "o_custkey", "o_totalprice")}, "o_orderkey", "o_orderkey % 7 = 0", "orders"),
         "select o_orderkey, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as prev from orders where o_orderkey % 7 <> 0",
     ),
+    "ivm_avg_delta": (
+        _incremental("select o_orderstatus, round(avg(o_custkey), 6) as mean from orders group by o_orderstatus", {"orders": ("o_orderkey", "o_custkey", "o_orderstatus")}, "o_orderkey", "o_orderkey % 7 = 0", "orders"),
+        "select o_orderstatus, round(avg(o_custkey), 6) as mean from orders where o_orderkey % 7 <> 0 group by o_orderstatus",
+    ),
+    "ivm_frame_delta": (
+        _incremental("select o_orderkey, sum(o_orderkey) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as s from orders", {"orders": ("o_orderkey", "o_custkey")}, "o_orderkey", "o_orderkey % 7 = 0", "orders"),
+        "select o_orderkey, (sum(o_orderkey) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row))::bigint as s from orders where o_orderkey % 7 <> 0",
+    ),
+    "ivm_distinct_delta": (
+        _incremental("select distinct o_custkey, o_orderstatus from orders", {"orders": ("o_orderkey", "o_custkey", "o_orderstatus")}, "o_orderkey", "o_orderkey % 7 = 0", "orders"),
+        "select distinct o_custkey, o_orderstatus from orders where o_orderkey % 7 <> 0",
+    ),
+    "ivm_left_join_delta": (
+        _incremental("select c.c_custkey as c, o.o_orderkey as o from customer c left join orders o on c.c_custkey = o.o_custkey", {"orders": ("o_orderkey", "o_custkey"), "customer": ("c_custkey",)}, "o_orderkey", "o_orderkey % 7 = 0", "orders"),
+        "select c_custkey as c, o_orderkey as o from customer left join (select * from orders where o_orderkey % 7 <> 0) on c_custkey = o_custkey",
+    ),
 }
 
 OTHERS: dict[str, tuple[Callable, str]] = {

@@ -85,8 +85,20 @@ def partials(df: DataFrame, keys: tuple[tuple[str, str], ...], aggs: tuple[Agg,
 
 def add_states(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     values = [c for c in new.columns if c not in keys]
-    both = old.unionByName(new).groupBy(*[col(k) for k in keys]).agg(*[F.sum(col(c)).alias(c) for c in values])
-    return both.where(F.col(TOTAL) != 0) if keys else both
+    return old.unionByName(new).groupBy(*[col(k) for k in keys]).agg(*[F.sum(col(c)).alias(c) for c in values])
+
+
+def standing(state: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups that have rows; the one group without keys always stands."""
+    return state.where(F.col(TOTAL) != 0) if keys else state
+
+
+def latest(states: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each group's states the last by `order`. A group is stored anew instead of
+    being added up, so that its sums of doubles are taken back as they were given."""
+    values = [c for c in states.columns if c not in (*keys, order)]
+    last = states.groupBy(*[col(k) for k in keys]).agg(F.max_by(F.struct(*[col(c) for c in values]), F.col(order)).alias("__last"))
+    return last.select(*[col(k) for k in keys], *[F.col("__last").getField(c).alias(c) for c in values]).where(F.col("__last").isNotNull())
 
 
 def finished(state: DataFrame, keys: list[str], aggs: tuple[Agg, ...]) -> DataFrame:

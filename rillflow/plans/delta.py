@@ -7,7 +7,8 @@ change by.
     all others                                the touched partitions, before and after
 
 An outer, semi or anti join is recomputed for the touched keys. A plan node's
-state is kept under the node's place in the plan.
+state is kept under the node's place in the plan; a tick reads and checks the
+rows of touched keys only, and appends its delta.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from rillflow.functions.zset import WEIGHT, check, col, columns, consolidate, integrate, union, weighted
 from rillflow.operators import aggregate as A
@@ -23,7 +25,7 @@ from rillflow.operators import join as J
 from rillflow.operators import timewindow as W
 from rillflow.plans import nodes as N
 from rillflow.plans import view as V
-from rillflow.streaming.state import StateStore
+from rillflow.streaming.state import RUN, StateStore
 
 
 def _touched(df: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,10 +40,27 @@ def _touched(df: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(k, cond, "left_semi")
 
 
-def _recompute(node: N.Node, old: DataFrame, new: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    before = V.unary(node, _touched(old, delta, keys))
-    after = V.unary(node, _touched(new, delta, keys))
-    return A.changes(weighted(before), weighted(after))
+def _recompute(node: N.Node, old: DataFrame, new: DataFrame) -> DataFrame:
+    return A.changes(weighted(V.unary(node, old)), weighted(V.unary(node, new)))
+
+
+def _bag(rows: DataFrame, _: bool = True) -> DataFrame:
+    return consolidate(rows.drop(RUN))
+
+
+def _common(left: DataFrame, right: DataFrame, on) -> list[str | None] | None:
+    """What each pair of join keys is cast to before it is hashed, so that equal
+    keys have equal hashes; None if there may be equal keys that have not."""
+    out = []
+    for l, r in on:
+        a, b = left.schema[l].dataType, right.schema[r].dataType
+        if a == b:
+            out.append(None)
+        elif isinstance(a, IntegralType) and isinstance(b, IntegralType):
+            out.append("bigint")
+        else:
+            return None
+    return out
 
 
 class Delta:
@@ -74,43 +93,68 @@ class Delta:
                 return inputs[0]  # a delta has no order; the view sorts
         return self.keyed(node, at, self.store.hold(f"{at}.d", consolidate(inputs[0])))
 
-    def state(self, at: str, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(before, after) of an input that is kept whole."""
-        old = self.store.read(at)
-        old = delta.limit(0) if old is None else old
-        new = self.store.stage(at, integrate(old, delta))
-        check(new, f"state {at}")
+    def state(self, at: str, delta: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(before, after) of those rows of an input that have a key of the delta's;
+        the delta is added to what is kept."""
+        key = [(c, None) for c in keys]
+        old = self.store.near(at, delta, key)
+        old = delta.limit(0) if old is None else self.store.hold(f"{at}.o", _bag(_touched(old, delta, keys)))
+        new = integrate(old, delta)
+        if self.lowers(delta):
+            check(new, f"state {at}")
+        self.store.append(at, delta, key, _bag)
         return old, new
 
+    @staticmethod
+    def lowers(delta: DataFrame) -> bool:
+        """Whether it takes anything away; else no count can fall below zero."""
+        return bool(delta.where(F.col(WEIGHT) < 0).limit(1).collect())
+
     def join(self, node: N.Join, at: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        l_old, l_new = self.state(f"{at}.l", left)
-        r_old, r_new = self.state(f"{at}.r", right)
+        casts = _common(left, right, node.on)
+        names = [f"__j{i}" for i in range(len(node.on))]
+        own = [[(p[i], t) for p, t in zip(node.on, casts or [None] * len(node.on), strict=True)] for i in (0, 1)]
+
+        def kept(i: int, keys: DataFrame, key) -> DataFrame:
+            """The rows kept of a side that may have one of the keys."""
+            got = self.store.whole(f"{at}.{'lr'[i]}") if casts is None else self.store.near(f"{at}.{'lr'[i]}", keys, key)
+            return (left, right)[i].limit(0) if got is None else got.drop(RUN)
+
+        for i, delta in enumerate((left, right)):
+            if self.lowers(delta):
+                same = self.store.near(f"{at}.{'lr'[i]}", delta, own[i])
+                same = delta.limit(0) if same is None else _touched(same.drop(RUN), delta, columns(delta))
+                check(integrate(same, delta), f"state {at}.{'lr'[i]}")
+            self.store.append(f"{at}.{'lr'[i]}", delta, own[i], _bag)
         if node.how == "inner":
-            return J.delta_join(left, l_old, right, r_old, node.on)
-        out = []
-        names = lambda side: [f"__j{i}" for i in range(len(node.on))] if side else []
-        keys = names(True)
-        pick = lambda df, i: df.select(*[col(p[i]).alias(k) for p, k in zip(node.on, keys, strict=True)])
+            return J.delta_join(left, kept(0, right, own[1]), right, kept(1, left, own[0]), node.on)
+        pick = lambda df, i: df.select(*[col(p[i]).alias(k) for p, k in zip(node.on, names, strict=True)])
         touched = pick(left, 0).union(pick(right, 1))
-        for sign, l, r in ((-1, l_old, r_old), (1, l_new, r_new)):
-            sides = []
-            for df, i in ((l, 0), (r, 1)):
-                with_keys = df.withColumns({k: col(p[i]) for p, k in zip(node.on, keys, strict=True)})
-                sides.append(_touched(with_keys, touched, keys).drop(*keys))
-            out.append(V.binary(node, *sides).withColumn(WEIGHT, F.col(WEIGHT) * sign))
-        return consolidate(union(*out))
+        old, new = [], []
+        for i, delta in enumerate((left, right)):
+            before = kept(i, touched, [(n, t) for n, t in zip(names, casts or [], strict=False)])
+            of_keys = lambda df: _touched(df.withColumns({k: col(p[i]) for p, k in zip(node.on, names, strict=True)}), touched, names).drop(*names)  # noqa: B023, E731
+            old.append(self.store.hold(f"{at}.o{i}", consolidate(of_keys(before))))
+            new.append(integrate(old[i], of_keys(delta)))
+        return consolidate(union(V.binary(node, *old).withColumn(WEIGHT, -F.col(WEIGHT)), V.binary(node, *new)))
 
     def linear(self, keys, aggs, at: str, delta: DataFrame) -> DataFrame:
         """Groups of the delta only; a group without rows is forgotten, one whose
         rows went below none is an error."""
         names = [n for _, n in keys]
+        key = [(n, None) for n in names]
         part = self.store.hold(f"{at}.p", A.partials(delta, keys, aggs))
-        old = self.store.read(at)
-        old = part.limit(0) if old is None else old
-        new = self.store.stage(at, A.add_states(old, part, names))
+        old = self.store.near(at, part, key)
+        old = part.limit(0) if old is None else self.store.hold(f"{at}.o", A.latest(_touched(old, part, names), names, RUN))
+        new = self.store.hold(f"{at}.n", A.add_states(old, part, names))
         check(new.withColumnRenamed(A.TOTAL, WEIGHT), f"group of {at}")
-        before, after = _touched(old, part, names), _touched(new, part, names)
-        return A.changes(A.finished(before, names, aggs), A.finished(after, names, aggs))
+
+        def merge(states: DataFrame, whole: bool) -> DataFrame:
+            last = A.latest(states, names, RUN)
+            return A.standing(last, names) if whole else last
+
+        self.store.append(at, new, key, merge)
+        return A.changes(*[A.finished(A.standing(s, names), names, aggs) for s in (old, new)])
 
     def keyed(self, node: N.Node, at: str, delta: DataFrame) -> DataFrame:
         """Recomputes the partitions that the delta touches."""
@@ -134,5 +178,4 @@ class Delta:
                 partition = []
             case _:
                 raise TypeError(f"no delta rule for {type(node).__name__}")
-        old, new = self.state(at, delta)
-        return _recompute(node, old, new, delta, partition)
+        return _recompute(node, *self.state(at, delta, partition))

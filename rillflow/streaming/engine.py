@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from rillflow.functions.zset import WEIGHT, check, consolidate, integrate, weighted
+from rillflow.functions.zset import WEIGHT, columns, consolidate, weighted
 from rillflow.plans import nodes as N
 from rillflow.plans.delta import Delta
 from rillflow.plans.sql import plan as parse
 from rillflow.plans.view import view
 from rillflow.streaming import dml
-from rillflow.streaming.state import StateStore
+from rillflow.streaming.state import RUN, StateStore
 
 
 class IncrementalQuery:
@@ -72,8 +72,8 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         """The weighted rows of a table."""
-        found = self.tables[name].read("rows")
-        return weighted(self.spark.createDataFrame([], self.schemas[name])) if found is None else found
+        found = self.tables[name].whole("rows")
+        return weighted(self.spark.createDataFrame([], self.schemas[name])) if found is None else consolidate(found.drop(RUN))
 
     def prepare(self, query: str | N.Node) -> IncrementalQuery:
         """A query that has seen the tables' rows so far."""
@@ -88,7 +88,7 @@ class Engine:
         store = self.tables[name]
         store.begin()
         change = store.hold("delta", consolidate(delta))
-        check(store.stage("rows", integrate(self.table(name), change)), name)
+        Delta(store, {}, {}).state("rows", change, columns(change))
         change = store.output(change)
         store.commit(store.version + 1)
         return {q: q.tick({name: change}) for q in self.queries if name in q.sources}

@@ -8,6 +8,7 @@ from rillflow.functions.zset import Underflow, consolidate, union
 from rillflow.plans import nodes as N
 from rillflow.plans.view import view
 from rillflow.session import cut
+from rillflow.streaming import state
 from rillflow.streaming.engine import Engine, IncrementalQuery
 
 T = "id long, k string, ts long, v long"
@@ -63,6 +64,39 @@ def test_deltas_sum_to_view(spark, tmp_path, name):
     assert bag(union(*outs)) == bag(want)
 
 
+@pytest.mark.parametrize("name", ["join", "left_join", "sum_count_avg"])
+def test_state_in_many_runs_and_slices(spark, tmp_path, monkeypatch, name):
+    """With tiny files and few hashes in a filter: slices, semi-joins and joined runs."""
+    monkeypatch.setattr(state, "FILE_ROWS", 2)
+    monkeypatch.setattr(state, "FEW", 2)
+    *ticks, live = schedule(len(name), 4)
+    schema = spark.createDataFrame([], T).schema
+    q = IncrementalQuery(spark, QUERIES[name], {"t": schema, "u": schema}, str(tmp_path / "q"))
+    outs = [cut(q.tick({n: spark.createDataFrame(d, T + ", __count long") for n, d in deltas.items()})) for deltas in ticks]
+    assert any(r["bits"] for runs in q.store.manifest["tables"].values() for r in runs)
+    assert bag(union(*outs)) == bag(view(q.plan, {n: spark.createDataFrame(rows, T) for n, rows in live.items()}))
+
+
+def test_a_tick_writes_what_it_changes_only(spark, tmp_path):
+    schema = spark.createDataFrame([], T).schema
+    q = IncrementalQuery(spark, QUERIES["min_max"], {"t": schema}, str(tmp_path / "q"))
+    many = spark.range(5000).selectExpr("id", "cast(id % 500 as string) as k", "id as ts", "id as v", "1L as __count")
+    q.tick({"t": many})
+    [base] = next(iter(q.store.manifest["tables"].values()))
+    for i in range(3):
+        out = q.tick({"t": spark.createDataFrame([(9000 + i, "7", 1, 9000 + i, 1), (i * 500 + 8, "8", i * 500 + 8, i * 500 + 8, -1)], T + ", __count long")})
+        assert {x["k"] for x in out.collect()} == {"7", "8"}
+        runs = next(iter(q.store.manifest["tables"].values()))
+        assert runs[0] == base and sum(r["rows"] for r in runs[1:]) == 2 * (i + 1) and len(runs) <= 3
+
+
+def test_join_keys_of_different_types(spark, tmp_path):
+    one, two = spark.createDataFrame([], "a int").schema, spark.createDataFrame([], "b string").schema
+    q = IncrementalQuery(spark, "select x.a as a, y.b as b from x join y on x.a = y.b", {"x": one, "y": two}, str(tmp_path / "q"))
+    q.tick({"y": spark.createDataFrame([("01",), ("2",)], two)})
+    assert [tuple(r) for r in q.tick({"x": spark.createDataFrame([(1,)], one)}).collect()] == [(1, "01", 1)]
+
+
 def test_batch_split_and_order_do_not_matter(spark, tmp_path):
     *ticks, _ = schedule(5, 2)
     schema = spark.createDataFrame([], T).schema
