@@ -17,7 +17,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
 from rillflow.functions.zset import WEIGHT, check, col, columns, consolidate, integrate, union, weighted
 from rillflow.operators import aggregate as A
@@ -178,4 +178,22 @@ class Delta:
                 partition = []
             case _:
                 raise TypeError(f"no delta rule for {type(node).__name__}")
-        return _recompute(node, *self.state(at, delta, partition))
+        old, new = self.state(at, delta, partition)
+        if isinstance(node, (N.GroupAgg, N.TimeWindow, N.Over, N.GroupsFrame)):
+            after = weighted(V.unary(node, new))
+            if any(isinstance(f.dataType, (FloatType, DoubleType)) for f in after.schema):
+                names = [n for _, n in node.keys] if isinstance(node, (N.GroupAgg, N.TimeWindow)) else partition
+                return self.given(f"{at}.y", delta.select(*[col(p).alias(n) for p, n in zip(partition, names, strict=True)]), after)
+        return _recompute(node, old, new)
+
+    def given(self, at: str, touched: DataFrame, after: DataFrame) -> DataFrame:
+        """The change to `after` from what was given out before for the touched keys.
+        Results with floating sums are kept for this: computed anew, they can differ
+        in the last bit, as sums do with the order of the rows, and would not be
+        taken back as they were given."""
+        key = [(n, None) for n in touched.columns]
+        old = self.store.near(at, touched, key)
+        old = after.limit(0) if old is None else _touched(old.drop(RUN), touched, touched.columns)
+        change = self.store.hold(f"{at}.c", A.changes(old, after))
+        self.store.append(at, change, key, _bag)
+        return change
