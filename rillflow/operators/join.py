@@ -41,6 +41,7 @@ class ExpiringJoin:
 
     A pair is taken back once: left rows go first, against the right state before
     its own rows go. now is given with each tick, so that a replay gives the same.
+    tables() is all of its state.
     """
 
     def __init__(self, on: tuple[tuple[str, str], ...], ttl: int):
@@ -48,6 +49,12 @@ class ExpiringJoin:
         self.left: DataFrame | None = None
         self.right: DataFrame | None = None
 
+    def tables(self) -> dict[str, DataFrame | None]:
+        return {"left": self.left, "right": self.right}
+
+    def restore(self, tables: dict[str, DataFrame | None]) -> None:
+        self.left, self.right = tables["left"], tables["right"]
+
     def _merge(self, state: DataFrame, delta: DataFrame, now: int) -> DataFrame:
         """State after a delta; an insert renews the row's expiry."""
         until = F.when(F.col(WEIGHT) > 0, F.lit(now + self.ttl)).otherwise(F.lit(0)).cast("long")

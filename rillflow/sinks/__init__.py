@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
@@ -75,17 +76,21 @@ class CsvSink:
 class ParquetSink:
     """Parquet files with __count, appended to a folder. With rotate_batches or
     rotate_ms, batches are gathered (in the shared folder) and written together
-    after so many, or once so much time has passed."""
+    after so many, or once so much time has passed. With a cache, all files have the
+    schema that the query's first batch had, across restarts."""
 
-    def __init__(self, path: str, compression: str = "zstd", rotate_batches: int = 1, rotate_ms: int | None = None, schema: StructType | None = None, rows_per_file: int | None = None, clock=time.monotonic):
+    def __init__(self, path: str, compression: str = "zstd", rotate_batches: int = 1, rotate_ms: int | None = None, schema: StructType | None = None, rows_per_file: int | None = None, clock=time.monotonic, cache: Callable[[StructType], StructType] | None = None):
         if compression not in CODECS:
             raise ValueError(f"compression is one of {', '.join(CODECS)}")
         self.path, self.compression, self.every, self.ms, self.schema, self.rows, self.clock = path, compression, max(1, rotate_batches), rotate_ms, schema, rows_per_file, clock
+        self.cache = cache
         self.held: list[DataFrame] = []
         self.since = clock()
 
     def write(self, batch: DataFrame) -> None:
         w = weighted(batch)
+        if self.schema is None and self.cache:
+            self.schema = self.cache(w.schema)
         if self.schema is not None:  # values that do not fit become null
             w = w.select(*[(col(f.name) if f.name in w.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name != WEIGHT], WEIGHT)
         waits = self.every > 1 or self.ms is not None

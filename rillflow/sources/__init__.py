@@ -16,11 +16,14 @@ HINTS = {"int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(),
 
 
 class Source(Protocol):
-    #: what the last batch came from, if that is files; those are read once
+    #: what the last batch came from, if that can be read again; it is read once
     origin: str | None
+    #: the number of the last row read of an origin that goes on; absent for files
+    upto: int
 
     def batches(self, done=()) -> Iterator[DataFrame]:
-        """Without the files of which done has the origin."""
+        """Without what done, a dict of origins and numbers, says was read. Asking
+        for the next batch says that the one before is kept."""
 
     def close(self) -> None: ...
 
@@ -116,7 +119,7 @@ class ChainSource:
         for s in self.sources:
             try:
                 for batch in s.batches(done):
-                    self.origin = getattr(s, "origin", None)
+                    self.origin, self.upto = getattr(s, "origin", None), getattr(s, "upto", 1)
                     if self.on_error == "skip":
                         batch = cut(batch)  # so that what is wrong with it shows here
                     yield batch

@@ -73,7 +73,8 @@ class StateStore:
 
     @property
     def position(self) -> dict[str, int]:
-        """The files, by table and origin, that the versions so far have read."""
+        """What the versions so far have read: files by table and origin, or up to
+        which row of an origin."""
         return self.manifest.get("position") or {}
 
     @property
@@ -185,6 +186,20 @@ class StateStore:
             run["rows"] = self._run_rows(run).count()
         self.staged[name] = [*runs, run]
 
+    def put(self, name: str, df: DataFrame | None) -> DataFrame | None:
+        """A table that is written whole at each tick; None empties it."""
+        if df is None:
+            self.staged[name] = []
+            return None
+        at, back = self._write(name, df)
+        self.staged[name] = [{"path": at, "bits": 0, "schema": df.schema.jsonValue(), "rows": back.count()}]
+        return back
+
+    def get(self, name: str) -> DataFrame | None:
+        """What put() kept."""
+        runs = self.manifest["tables"].get(name) or []
+        return self._run_rows(runs[0]) if runs else None
+
     def hold(self, name: str, df: DataFrame) -> DataFrame:
         """A table that several parts of a tick read; not part of the state."""
         return self._write(f"tick/{name}", df)[1]

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.functions.zset import WEIGHT, negate, union, weighted
-from rillflow.operators.timewindow import windowed
+from rillflow.functions.zset import col, negate, union, weighted
+from rillflow.operators.timewindow import END, START, sessions, windowed
 from rillflow.session import cut
 
 CLASS, LATE = "__class", "__late"
@@ -64,7 +64,7 @@ class WatermarkWindow:
     adds them in a second pass whose rows are marked __late, `buffer` keeps them, all
     of them, in a table aside for reprocess_late(); once it holds more than
     max_buffer_size rows, the tick adds them itself. Each tick returns result changes; its state is the rows
-    of the windows that may still change."""
+    of the windows that may still change. tables() and top are all of it."""
 
     def __init__(self, node, config: WatermarkConfig, sequence: str = "__seq"):
         self.node, self.config, self.sequence = node, config, sequence
@@ -72,6 +72,12 @@ class WatermarkWindow:
         self.buffer: DataFrame | None = None
         self.top: int | None = None
 
+    def tables(self) -> dict[str, DataFrame | None]:
+        return {"rows": self.rows, "buffer": self.buffer}
+
+    def restore(self, tables: dict[str, DataFrame | None]) -> None:
+        self.rows, self.buffer = tables["rows"], tables["buffer"]
+
     @property
     def watermark(self) -> int:
         return 0 if self.top is None else max(0, self.top - self.config.max_out_of_orderness)
@@ -116,9 +122,22 @@ class WatermarkWindow:
         return out
 
     def _collect(self) -> None:
-        """Forgets rows all of whose windows ended before anything can reach them."""
+        """Forgets rows all of whose windows ended before anything can reach them. A
+        session is beyond reach once it ended more than the allowed lateness behind
+        the watermark: a row that is still taken comes after its end."""
         n = self.node
-        if self.rows is not None and n.kind != "session":
-            t = F.expr(n.time).cast("long")
-            end = t - F.pmod(t, F.lit(n.slide)) + n.size  # of the last window that has the row
-            self.rows = cut(self.rows.where(end >= self.watermark - self.config.allowed_lateness))
+        if self.rows is None:
+            return
+        limit = self.watermark - self.config.allowed_lateness
+        if n.kind == "session":
+            held = self.rows.withColumn("__waits", F.lit(False))
+            if self.buffer is not None:  # a session that a waiting row joins stays
+                held = held.unionByName(self.buffer.withColumn("__waits", F.lit(True)))
+            placed = sessions(held, n.time, n.size, n.keys)
+            one = Window.partitionBy(*[F.expr(e) for e, _ in n.keys], START)
+            placed = placed.withColumn("__joined", F.max("__waits").over(one)).where(~F.col("__waits"))
+            self.rows = cut(placed.where((F.col(END) >= limit) | F.col("__joined")).select(*[col(c) for c in self.rows.columns]))
+            return
+        t = F.expr(n.time).cast("long")
+        end = t - F.pmod(t, F.lit(n.slide)) + n.size  # of the last window that has the row
+        self.rows = cut(self.rows.where(end >= limit))
