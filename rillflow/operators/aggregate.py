@@ -45,28 +45,39 @@ def aggregate(df: DataFrame, keys: tuple[tuple[str, str], ...], aggs: tuple[Agg,
     return out.drop(TOTAL).withColumn(WEIGHT, F.lit(1).cast("long"))
 
 
-def additive(delta: DataFrame, keys: tuple[tuple[str, str], ...], aggs: tuple[Agg, ...]) -> DataFrame:
-    """What a delta adds to each group's sums and counts, groups without a change
-    left out. Columns are named after the aggregates; one sum is also what older
-    sinks expect as agg_delta, see `contract`."""
-    out = weighted(delta).groupBy(*[F.expr(e).alias(n) for e, n in keys]).agg(*[merged(a).alias(a.name) for a in aggs])
-    changed = F.lit(False)
-    for a in aggs:
-        changed = changed | (F.coalesce(col(a.name), F.lit(0)) != 0)
-    return out.where(changed).withColumn(WEIGHT, F.lit(1).cast("long"))
+#: fixed names of the delta contract
+CONTRACT = {"sum": "agg_delta", "count": "count_delta", "avg": "avg_delta", "min": "min", "max": "max"}
 
 
-def contract(aggs: tuple[Agg, ...]) -> tuple[Agg, ...]:
-    """The aggregates under the names of the delta contract: agg_delta, count_delta,
-    avg_delta, min, max; a second one of a kind gets its own name as a suffix."""
-    names = {"sum": "agg_delta", "count": "count_delta", "avg": "avg_delta", "min": "min", "max": "max"}
+def contract(aggs: tuple[Agg, ...]) -> list[str]:
+    """The aggregates' names in the delta contract; a second one of a kind gets its
+    own name as a suffix."""
     seen: set[str] = set()
     out = []
     for a in aggs:
-        n = names[a.fn]
-        out.append(Agg(a.fn, a.expression, f"{n}_{a.name}" if n in seen else n, a.distinct))
+        n = CONTRACT[a.fn]
+        out.append(f"{n}_{a.name}" if n in seen else n)
         seen.add(n)
-    return tuple(out)
+    return out
+
+
+def contracted(change: DataFrame, keys: list[str], aggs: tuple[Agg, ...]) -> DataFrame:
+    """The signed change of a grouped result as one row for each group, __count 1:
+    what sums, counts and averages change by (no value counts as zero), and the
+    extremes as they are now (null for a group that is gone). Groups without a
+    change are left out."""
+    w, out, changed = F.col(WEIGHT), [], F.lit(False)
+    for a, n in zip(aggs, contract(aggs), strict=True):
+        if a.fn in ("min", "max"):
+            now, before = (F.max(F.when(sign, col(a.name))) for sign in (w > 0, w < 0))
+            out += [now.alias(n), before.alias(f"__was_{n}")]
+            changed = changed | ~col(n).eqNullSafe(col(f"__was_{n}"))
+        else:
+            by = F.coalesce(F.sum(col(a.name) * w), F.lit(0)).cast("long" if a.fn == "count" else "double")
+            out.append(by.alias(n))
+            changed = changed | (col(n) != 0)
+    rows = change.groupBy(*[col(k) for k in keys]).agg(*out).where(changed)
+    return rows.select(*[col(k) for k in keys], *[col(n) for n in contract(aggs)], F.lit(1).cast("long").alias(WEIGHT))
 
 
 def partials(df: DataFrame, keys: tuple[tuple[str, str], ...], aggs: tuple[Agg, ...]) -> DataFrame:

@@ -1,10 +1,12 @@
 """Configured pipelines: source, query, sink.
 
     source:    {type: csv|parquet|json_dir|http|chain, config: {...}}
-    transform: {type: sql, query: ..., join_ttl: 10s, watermark: {...}}
+    transform: {type: sql, query: ..., join_ttl: 10s, watermark: {...}, names: alias|contract}
     sink:      {type: console|json|csv|parquet, config: {...}, batch: {...}}
     state:     {path: ...}
 
+With names: contract, a sink gets one row of changes for each group, under fixed
+names (agg_delta, count_delta, avg_delta, min, max, agg_result).
 A source may name the table that it feeds (table, else the query's only one);
 `sources` takes several, so that joins run too.
 """
@@ -22,6 +24,7 @@ from rillflow import sinks
 from rillflow.functions.intervals import duration_ms, interval_ms
 from rillflow.functions.zset import weighted
 from rillflow.plans import nodes as N
+from rillflow.plans.contract import by_contract
 from rillflow.plans.sql import plan as parse
 from rillflow.plans.view import scan, unary
 from rillflow.sources import ChainSource, CsvSource, ParquetSource, StreamSource, schema_of
@@ -49,12 +52,15 @@ class Config:
     state: str
     join_ttl: int | None = None
     watermark: WatermarkConfig = field(default_factory=WatermarkConfig)
+    names: str = "alias"
 
     @classmethod
     def load(cls, raw: dict) -> Config:
         t = raw.get("transform") or {}
         if t.get("type", "sql") != "sql" or not t.get("query"):
             raise ValueError("transform needs type sql and a query")
+        if t.get("names", "alias") not in ("alias", "contract"):
+            raise ValueError("names is alias or contract")
         if "sink" not in raw:
             raise ValueError("a sink is missing")
         if "sources" in raw:
@@ -65,7 +71,7 @@ class Config:
             raise ValueError("a source is missing")
         w = t.get("watermark") or {}
         mark = WatermarkConfig(w.get("enabled", False), milliseconds(w.get("max_out_of_orderness", 0)), milliseconds(w.get("allowed_lateness", 0)), w.get("policy", "drop"), w.get("max_buffer_size", 1000))
-        return cls(sources, t["query"], raw["sink"], (raw.get("state") or {}).get("path", ""), milliseconds(t.get("join_ttl")), mark)
+        return cls(sources, t["query"], raw["sink"], (raw.get("state") or {}).get("path", ""), milliseconds(t.get("join_ttl")), mark, t.get("names", "alias"))
 
     @classmethod
     def read(cls, path: str) -> Config:
@@ -143,6 +149,7 @@ class Pipeline:
             self.sources[only] = self.sources.pop("")
             schemas[only] = schemas.pop("")
         self.sink = sink or sink_of(config.sink, spark, config.query)
+        self.form = by_contract(self.plan) if config.names == "contract" else lambda out: out
         self.stopped = False
         self.marked = self._marked() if config.watermark.enabled else None
         self.ttl = self._ttl() if config.join_ttl else None
@@ -183,7 +190,7 @@ class Pipeline:
         return above, node, ExpiringJoin(node.on, self.config.join_ttl)
 
     def _send(self, out: DataFrame, number: int) -> None:
-        self.sink.write(out)
+        self.sink.write(self.form(out))
         if self.store:
             self.store.mark_sent(number)
 

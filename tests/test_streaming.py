@@ -10,6 +10,7 @@ from rillflow import sinks
 from rillflow.functions.zset import WEIGHT, consolidate, union
 from rillflow.operators.join import ExpiringJoin
 from rillflow.plans import nodes as N
+from rillflow.plans.contract import by_contract
 from rillflow.plans.sql import Unsupported, plan
 from rillflow.session import cut
 from rillflow.sources import ChainSource, CsvSource
@@ -367,3 +368,32 @@ def test_parquet_files_keep_the_first_schema(spark, tmp_path):
     of().write(spark.createDataFrame([("b", 2, 1)], "k string, n int, __count long"))
     assert [f.name for f in spark.read.parquet(str(tmp_path / "p")).schema] == ["n", "k", WEIGHT]
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).collect())) == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_names_of_the_delta_contract(spark, tmp_path):
+    def ticks(query, schema, *texts):
+        path = tmp_path / str(len(list(tmp_path.iterdir())))
+        path.mkdir()
+        out = []
+        for i, text in enumerate(texts):
+            raw = {"source": {"type": "csv", "table": "t", "config": {"path": csv(path, f"{i}.csv", text), "schema": schema}}, "transform": {"query": query, "names": "contract"}, "sink": {"type": "console"}, "state": {"path": str(path / "state")}}
+            sink = Kept()
+            Pipeline(spark, Config.load(raw), sink).run()
+            out.append(sorted(sink.out[0].collect()))
+        return out
+
+    got = ticks("select k, sum(v) as s, count(id) as n from t group by k", {"v": "float", "id": "int"}, "k,v,id,__count\nA,10,1,1\n", "k,v,id,__count\nA,10,1,-1\n")
+    assert [[r.asDict() for r in t] for t in got] == [[{"k": "A", "agg_delta": 10.0, "count_delta": 1, WEIGHT: 1}], [{"k": "A", "agg_delta": -10.0, "count_delta": -1, WEIGHT: 1}]]
+    got = ticks("select k, min(v) as lo, max(v) as hi, avg(v) as a, sum(v) as s, sum(v * 2) as d from t group by k", {"v": "int"}, "k,v,__count\nA,30,1\nA,10,1\nA,20,1\nB,5,1\nC,,1\n", "k,v,__count\nA,10,-1\nB,5,-1\nC,,1\n")
+    names = ["k", "min", "max", "avg_delta", "agg_delta", "agg_delta_d"]
+    assert [[tuple(r[n] for n in names) for r in t] for t in got] == [
+        [("A", 10, 30, 20.0, 60.0, 120.0), ("B", 5, 5, 5.0, 5.0, 10.0)],  # C has no value
+        [("A", 20, 30, 5.0, -10.0, -20.0), ("B", None, None, -5.0, -5.0, -10.0)],
+    ]
+    got = ticks("select count(*) as n from t", {"v": "int"}, "v\n1\n2\n", "v,__count\n1,-1\n")
+    assert [[tuple(r) for r in t] for t in got] == [[(2, 1)], [(-1, 1)]]
+    got = ticks("select k, v, sum(v) over (partition by k order by v) as r from t", {"v": "int"}, "k,v\na,1\na,2\n")
+    assert [(r["v"], r["agg_result"]) for r in got[0]] == [(1, 1), (2, 3)]
+    for bad in ("select k, sum(v) + 1 as s from t group by k", "select k from t"):
+        with pytest.raises(ValueError):
+            by_contract(plan(bad, {"t": ["k", "v"]}))
