@@ -15,7 +15,9 @@ same shingles deal texts to shards, and an estimate from 128 min-hashes, with a
 margin, gives candidates. Items that candidates connect are then dealt with their
 whole shingle sets, and a link needs the wanted similarity of these sets, exactly.
 
-A shard of more than `chunk` items is split: its items are dealt to chunks, and
+A shard by blocks that has more than radius + 1 times `chunk` items is dealt once
+more: of the open bits in radius + 1 parts, fingerprints within the radius agree in
+one. What still has more than `chunk` items is split: its items are dealt to chunks, and
 each pair of chunks is a task's tree and query set of its own, so that no task
 ever holds an unbounded group. A task returns a spanning forest of its links,
 never all pairs.
@@ -113,6 +115,19 @@ def block_masks(radius: int) -> list[int]:
     return [as_long(a | b) for a, b in combinations(blocks, 2)]
 
 
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """mask with each of radius + 1 parts of the bits it leaves open: two fingerprints
+    within radius bits that agree under the mask agree under one of these too."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(left) * i // (radius + 1) for i in range(radius + 2)]
+    return [as_long(mask & MASK64 | sum(1 << b for b in left[lo:hi])) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def shards_of_two(rows: DataFrame) -> DataFrame:
+    """Rows with their shard's size; an item alone in its shard has no link there."""
+    return rows.join(rows.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1"), ["n", "key"])
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
@@ -258,8 +273,15 @@ def links(items: DataFrame, radius: int, similarity: float | None = None, chunk:
     else:
         rows = items.select("item", "fp", "sketch", F.posexplode("bands").alias("n", "key"))
         more = ["sketch"]
-    sizes = rows.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, ["n", "key"])  # an item alone in its shard has no link there
+    rows = shards_of_two(rows)
+    if similarity is None:
+        # beyond radius + 1 chunks it takes fewer copies to deal a shard's items by more bits
+        masks = block_masks(radius)
+        finer = F.array(*[F.array(*[F.lit(m) for m in finer_masks(mask, radius)]) for mask in masks])
+        number = lambda i: F.lit(len(masks)) + F.col("n") * (radius + 1) + i
+        keys = F.transform(F.element_at(finer, F.col("n") + 1), lambda m, i: F.struct(number(i).alias("n"), F.col("fp").bitwiseAND(m).alias("key")))
+        hot = F.col("size") > chunk * (radius + 1)
+        rows = rows.where(~hot).unionByName(shards_of_two(rows.where(hot).select("item", "fp", F.inline(keys))))
     k = F.ceil(F.col("size") / chunk).cast("int")
     rows = rows.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("item", F.lit(11)), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

@@ -61,6 +61,27 @@ def test_links_lose_nothing(spark, radius, chunk):
     assert components(got, signed) == components(want, signed)
 
 
+def test_links_of_hot_shards(spark):
+    r = random.Random(9)
+    fps = {0xABCDEF << 40 | r.getrandbits(24) for _ in range(150)}  # they agree in the blocks of the upper bits
+    fps |= {x ^ 1 << r.randrange(24) ^ 1 << r.randrange(24) for x in list(fps)[:60]}
+    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    items = spark.createDataFrame([(s, s) for s in signed], "item long, fp long")
+    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4
+    want = [(a, b) for a in signed for b in signed if a < b and near(a, b)]
+    for chunk in (3, 20):
+        got = [tuple(x) for x in simhash.links(items, 4, chunk=chunk).collect()]
+        assert components(got, signed) == components(want, signed)
+    assert len(set(components(want, signed).values())) > 1
+
+
+def test_finer_masks():
+    for radius in (0, 2, 4):
+        for mask in simhash.block_masks(radius):
+            parts = [(m & ~mask) & ((1 << 64) - 1) for m in simhash.finer_masks(mask, radius)]
+            assert sum(parts) == ~mask & ((1 << 64) - 1) and sum(p.bit_count() for p in parts) == 64 - (mask & ((1 << 64) - 1)).bit_count()
+
+
 def test_forest_follows_only_edges_within_the_radius():
     r = np.random.default_rng(1)
     fp = r.integers(0, 1 << 63, 300, dtype=np.uint64)
