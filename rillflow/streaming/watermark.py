@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.functions.zset import col, negate, union, weighted
+from rillflow.functions.zset import WEIGHT, col, consolidate, negate, union, weighted
 from rillflow.operators.timewindow import END, START, sessions, windowed
 from rillflow.session import cut
 
@@ -84,11 +84,11 @@ class WatermarkWindow:
 
     def _result(self, rows: DataFrame) -> DataFrame:
         n = self.node
+        if n.kind == "session":  # a row that is taken back is in no session; it has another number than the one it takes back
+            rows = consolidate(rows.drop(self.sequence))
         return windowed(rows, n.kind, n.time, n.size, n.slide, n.keys, n.aggs)
 
     def _add(self, rows: DataFrame, late: bool) -> DataFrame:
-        from rillflow.functions.zset import consolidate
-
         old = rows.limit(0) if self.rows is None else self.rows
         new = cut(union(old, rows))
         change = consolidate(union(negate(self._result(old)), self._result(new)))
@@ -130,13 +130,16 @@ class WatermarkWindow:
             return
         limit = self.watermark - self.config.allowed_lateness
         if n.kind == "session":
-            held = self.rows.withColumn("__waits", F.lit(False))
+            number = F.lit(None).cast(self.rows.schema[self.sequence].dataType)
+            rows = cut(consolidate(self.rows.drop(self.sequence)).withColumn(self.sequence, number))
+            held = rows.withColumn("__waits", F.lit(False))
             if self.buffer is not None:  # a session that a waiting row joins stays
                 held = held.unionByName(self.buffer.withColumn("__waits", F.lit(True)))
             placed = sessions(held, n.time, n.size, n.keys)
             one = Window.partitionBy(*[F.expr(e) for e, _ in n.keys], START)
             placed = placed.withColumn("__joined", F.max("__waits").over(one)).where(~F.col("__waits"))
-            self.rows = cut(placed.where((F.col(END) >= limit) | F.col("__joined")).select(*[col(c) for c in self.rows.columns]))
+            open_ = placed.where((F.col(END) >= limit) | F.col("__joined")).select(*[col(c) for c in rows.columns])
+            self.rows = cut(open_.unionByName(rows.where(F.col(WEIGHT) < 0)))  # what is taken back may come later
             return
         t = F.expr(n.time).cast("long")
         end = t - F.pmod(t, F.lit(n.slide)) + n.size  # of the last window that has the row

@@ -397,3 +397,14 @@ def test_names_of_the_delta_contract(spark, tmp_path):
     for bad in ("select k, sum(v) + 1 as s from t group by k", "select k from t"):
         with pytest.raises(ValueError):
             by_contract(plan(bad, {"t": ["k", "v"]}))
+
+
+def test_rows_of_sessions_are_taken_back(spark):
+    node = N.TimeWindow(N.Scan("t"), "session", "ts", 10, 10, (("k", "k"),), (N.Agg("count", "*", "n"),))
+    w = WatermarkWindow(node, WatermarkConfig(True, 100, 0, "drop"))
+    batch = lambda *x: spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "__seq long, k string, ts long, __count long")
+    got = lambda df: {(r["k"], r["__window_start"], r["__window_end"], r["n"], r[WEIGHT]) for r in df.collect()}
+    assert got(w.tick(batch(("a", 0, 1), ("a", 8, 1), ("b", 3, 1)))) == {("a", 0, 18, 2, 1), ("b", 3, 13, 1, 1)}
+    assert got(w.tick(batch(("a", 8, -1), ("b", 3, -1)))) == {("a", 0, 18, 2, -1), ("a", 0, 10, 1, 1), ("b", 3, 13, 1, -1)}
+    assert got(w.tick(batch(("c", 5, 1)))) == {("c", 5, 15, 1, 1)}
+    assert w.rows.count() == 2
