@@ -27,6 +27,7 @@ from rillflow.llm.common import keep_rows, per_batch, text_of, values
 
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 400_000
+LINES = 500_000  # lines (an n-gram of a text) that the fit works on at a time
 
 
 @dataclass(frozen=True)
@@ -109,17 +110,21 @@ def train(texts: Iterator[tuple[str, int]], s: Settings) -> Model:
     checks = [(g, v) for (g, v), a in zip(bags, aside, strict=True) if a]
     y_checks, bags, y = y[aside], [x for x, a in zip(bags, aside, strict=True) if not a], y[~aside]
     doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(g) for g, _ in bags])
-    gram, share = np.concatenate([g for g, _ in bags]), np.concatenate([v for _, v in bags])
+    gram = np.concatenate([g for g, _ in bags])
+    bags = [v for _, v in bags]
+    share = np.concatenate(bags)
     bags.clear()
-    many = np.bincount(gram, minlength=s.buckets) >= min(s.min_texts, max(1, len(y) // 20))
-    rms = np.sqrt(np.bincount(gram, share.astype(np.float64) ** 2, s.buckets) / len(y))
+    many = summed(gram, gram, s.buckets, np.ones_like) >= min(s.min_texts, max(1, len(y) // 20))
+    rms = np.sqrt(summed(gram, share, s.buckets, lambda v: v.astype(np.float64) ** 2) / len(y))
     base = np.where(many, 1 / np.sqrt(np.maximum(rms, 1e-12)), 0)  # so that rare n-grams learn at a useful pace
     scale, bias = base, 0.0
     for epochs, rate, decay in ((s.epochs, s.rate, s.decay), (s.epochs_again, s.rate / 5, s.decay / 3), (s.epochs_again, s.rate / 5, s.decay / 3)):
-        m = scale[gram] > 0
+        m = (scale > 0)[gram]
         if not m.any():
             break
-        doc, gram, share = doc[m], gram[m], share[m]
+        doc = doc[m]  # one after the other, as they are long
+        gram = gram[m]
+        share = share[m]
         logit, bias = descend(doc, gram, share, y, scale, epochs, rate, decay, s)
         table[:] = logit
         effect = np.abs(logit) * rms
@@ -131,6 +136,26 @@ def train(texts: Iterator[tuple[str, int]], s: Settings) -> Model:
     return Model(table, float(bias), s)
 
 
+def summed(at: np.ndarray, x: np.ndarray, size: int, of) -> np.ndarray:
+    """np.bincount(at, of(x), size), in the same order but LINES at a time, as it would
+    copy both whole in eight bytes a number."""
+    out = np.zeros(size)
+    for lo in range(0, len(at), LINES):
+        np.add.at(out, at[lo : lo + LINES], of(x[lo : lo + LINES]).astype(np.float64))
+    return out
+
+
+def spans(starts: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """(first segment, past the last, first line, past the last) of runs of whole
+    segments, each run of LINES lines at most unless one segment is longer."""
+    edges, at, found = np.append(starts, n), 0, []
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + LINES, "right")) - 1)
+        found.append((at, to, int(edges[at]), int(edges[to])))
+        at = to
+    return found
+
+
 def calibrate(z: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, float]:
     """(slope of the table, new bias) that make sigmoid(slope x table's part + bias)
     fit y best, both classes weighing the same: logistic regression by Newton's method
@@ -153,15 +178,20 @@ def descend(doc, gram, share, y, scale, epochs: int, rate: float, decay: float,
     """(logit of each bucket, bias): gradient descent with momentum on the whole
     sample, n-gram weights times `scale`; a step that raises the loss is taken
     back and the rate halved."""
-    used, at = np.unique(gram, return_inverse=True)
+    times = summed(gram, gram, s.buckets, np.ones_like)
+    used = np.flatnonzero(times)
+    at = (np.cumsum(times > 0) - 1).astype(np.int32)[gram]
     own = scale[used].astype(np.float32)
     x = share * own[at]
-    norm = float(np.sqrt(np.bincount(doc, x * x, len(y)).mean()))
+    norm = float(np.sqrt(summed(doc, x, len(y), np.square).mean()))
     x = (x / norm).astype(np.float32)[:, None]
     order = np.argsort(at, kind="stable")
     doc_by_gram, x_by_gram = doc[order], x[order]
-    docs, doc_starts = np.unique(doc, return_index=True)
-    gram_starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    del order
+    doc_starts = np.append(0, np.flatnonzero(doc[1:] != doc[:-1]) + 1)  # texts ascend
+    docs = doc[doc_starts]
+    gram_starts = (np.cumsum(times[used]) - times[used]).astype(np.int64)
+    by_doc, by_gram = spans(doc_starts, len(doc)), spans(gram_starts, len(doc))
     rng = np.random.default_rng(s.seed)
     params = [
         rng.normal(0, 0.1, (len(used), s.dim)).astype(np.float32),  # embeddings
@@ -176,7 +206,8 @@ def descend(doc, gram, share, y, scale, epochs: int, rate: float, decay: float,
     low, best = np.inf, [q.copy() for q in params]
     for _ in range(epochs):
         emb, soft, bias = params
-        mean[docs] = np.add.reduceat(emb[at] * x, doc_starts)
+        for a, b, lo, hi in by_doc:
+            mean[docs[a:b]] = np.add.reduceat(emb[at[lo:hi]] * x[lo:hi], doc_starts[a:b] - lo)
         z = mean @ soft + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -188,7 +219,10 @@ def descend(doc, gram, share, y, scale, epochs: int, rate: float, decay: float,
         if loss < low:
             low, best = loss, [q.copy() for q in params]
         g = (p - target) * weight[:, None]
-        slopes = [np.add.reduceat((g @ soft.T)[doc_by_gram] * x_by_gram, gram_starts) + decay * emb, mean.T @ g + decay * soft, g.sum(0)]
+        back, slope = g @ soft.T, np.empty_like(emb)
+        for a, b, lo, hi in by_gram:
+            slope[a:b] = np.add.reduceat(back[doc_by_gram[lo:hi]] * x_by_gram[lo:hi], gram_starts[a:b] - lo)
+        slopes = [slope + decay * emb, mean.T @ g + decay * soft, g.sum(0)]
         for i, (q, d) in enumerate(zip(params, slopes, strict=True)):
             moments[i] = 0.9 * moments[i] + d
             q -= rate * pace[i] * moments[i]

@@ -104,3 +104,42 @@ def test_scores_equal_plain_ones(spark):
     docs = [*odd_rows(), (50, "x" * 65 + " " + "ab" * 40), (51, "a_b, Cd!")]
     got = {(str(x["doc_id"]), round(x["score"], 6)) for x in toxicity.score(documents(spark, docs), model).collect()}
     assert got == {(str(i), round(plain_score(t), 6)) for i, t in docs}
+
+
+def test_the_fit_works_in_pieces(monkeypatch):
+    """What the fit holds for each line is bounded, and pieces give the same numbers."""
+    import tracemalloc
+
+    r, n = np.random.default_rng(3), 400_000
+    doc = np.sort(r.integers(0, 500, n)).astype(np.int32)
+    gram = r.integers(0, 5000, n).astype(np.int32)
+    share = r.random(n, np.float32) / 800
+    y = (np.arange(500) % 2).astype(np.float32)
+    scale = np.where(np.arange(1 << 13) % 3 == 0, 0, r.random(1 << 13))
+    m = scale[gram] > 0
+    lines = (doc[m], gram[m], share[m])
+    fit = lambda: toxicity.descend(*lines, y, scale, 5, 2.0, 1e-3, toxicity.Settings(buckets=1 << 13))
+    monkeypatch.setattr(toxicity, "LINES", n, raising=False)
+    whole = fit()
+    monkeypatch.setattr(toxicity, "LINES", 10_000, raising=False)
+    tracemalloc.start()
+    pieces = fit()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(whole[0], pieces[0]) and whole[1] == pieces[1] and whole[0].any()
+    assert peak < 40 * m.sum()
+    assert np.array_equal(toxicity.summed(gram, share, 1 << 13, np.square), np.bincount(gram, share * share, 1 << 13))
+
+
+def test_rows_are_kept_in_slices(spark):
+    from rillflow.llm.common import SLICE, keep_rows
+
+    def work():
+        def each(batch):
+            assert 0 < batch.num_rows <= SLICE
+            return [i % 3 > 0 for i in batch.column(0).to_pylist()]
+
+        return each
+
+    got = keep_rows(spark.range(3 * SLICE + 5).coalesce(1), work)
+    assert [x["id"] for x in got.collect()] == [i for i in range(3 * SLICE + 5) if i % 3]
