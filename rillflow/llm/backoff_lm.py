@@ -37,6 +37,7 @@ START, FIRST = 0, 1  # entries: before the first word, the first word's
 HOT = 4  # a bigram that might fill as many parts is spread
 SEED, HIGH = 42, -(1 << 63)  # hashed entries are negative
 PACK = 400_000  # words in packs at a time
+PIECE = 200_000  # lines of a part that are worked on at a time
 HELD = 1_000_000  # lines of row sums that a task holds
 ALL, SCORED, COUNTED, ROWS = 0, 1, 2, 3  # packs: bigrams to count and score, to score, to count; rows with their ids
 
@@ -117,6 +118,30 @@ def bigram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64(mix64(a.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + b.view(np.uint64))
 
 
+def pieces(packs: list[tuple[int, bytes]]) -> Iterator[list[np.ndarray]]:
+    """(row, first entry, second entry, n, the row's count of either, kind) of the
+    lines in packs, which are used up: some PIECE lines at a time, those of a bigram
+    together. Lines that wait are there once."""
+    some = 1 + sum(int.from_bytes(x[:4], "little") for _, x in packs) // PIECE
+    found = [[] for _ in range(some)]
+    while packs:
+        columns, size = [], 0
+        while packs and size < PIECE // 4:  # packs may be short
+            kind, pack = packs.pop()
+            delta, a, b, *small = unpacked(pack, 6)  # n and own counts are of one task's words at most
+            columns.append((np.cumsum(delta), a, b, *(c.astype(np.int32) for c in small), np.full(len(a), kind, np.int8)))
+            size += len(a)
+        columns = [np.concatenate(x) for x in zip(*columns, strict=True)]
+        at = (bigram_key(*columns[1:3]) & np.uint64(0xFFFFFFFF)) * np.uint64(some) >> np.uint64(32)  # the part is of the key's other half
+        for i, x in enumerate(found):
+            one = at == i
+            x.append([c[one] for c in columns])
+    while found:
+        row, a, b, n, own_a, own_b, kind = (np.concatenate(x) for x in zip(*found.pop(), strict=True))
+        if len(row):
+            yield [row, a, b, *(c.astype(np.int64) for c in (n, own_a, own_b)), kind]
+
+
 def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: int, own: bool, kind: int, n_packs: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(part int, kind int, pack binary): the distinct bigrams of each row as packs of
     (row, first entry, second entry, n, the row's count of either word or, unless own,
@@ -230,11 +255,20 @@ class Sums:
         self.add(np.cumsum(delta), *more)
 
     def take(self) -> list[np.ndarray]:
-        row, *sums = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else np.zeros((6, 0), np.int64)
+        columns = [list(x) for x in zip(*self.held, strict=True)]
         self.held, self.size = [], 0
+        if not columns:
+            return list(np.zeros((6, 0), np.int64))
+        row = np.concatenate(columns.pop(0))
         order = np.argsort(row, kind="stable")
-        first = np.flatnonzero(np.diff(row[order], prepend=-1))
-        return [row[order][first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)]
+        row = row[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        found = [row[first]]
+        del row
+        while columns:  # one at a time, as they are long
+            x = np.concatenate(columns.pop(0))[order]
+            found.append(np.add.reduceat(x, first) if len(first) else x)
+        return found
 
     def packs(self) -> tuple[list[int], list[bytes]]:
         row, *sums = self.take()
@@ -276,6 +310,32 @@ def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float, ta
             at, found = sums.packs()
             return lines(at, [0] * len(at), [0] * len(at), found)
 
+        def judged(of_part: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for row, a, b, n, own_a, own_b, kind in pieces(of_part):
+                key = bigram_key(a, b)
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+                added = np.add.reduceat(np.where(kind == SCORED, 0, n)[order], first)
+                both = np.empty(len(key), np.int64)
+                both[order] = np.repeat(added, np.diff(first, append=len(key)))
+                del key, order, first, added
+                if (kind == COUNTED).any():
+                    scored = kind != COUNTED
+                    row, a, b, n, both, own_a, own_b = (c[scored] for c in (row, a, b, n, both, own_a, own_b))
+                both = both - n if own else both
+                seen = both > 0
+                entry, less, times = np.where(seen, a, b), np.where(seen, own_a, own_b), np.where(seen, -n, n)
+                del a, b, own_a, own_b
+                log = n * np.where(seen, nano_log(np.maximum(both, 1)), nano_log(alpha))
+                rare = entry < 0
+                if rare.any():
+                    yield waiting(*(c[rare] for c in (entry, row, less, times)))
+                log += np.where(rare, 0, times * nano_log(np.maximum(counts[np.maximum(entry, 0)] - less, 1)))
+                sums.add(row, n, np.where(seen, 0, n), log)
+                if sums.size >= HELD:
+                    yield summed()
+
         held = defaultdict(list)
         for batch in batches:
             for part, kind, pack in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -286,37 +346,7 @@ def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float, ta
                 else:
                     held[part].append((kind, pack))
         for part in list(held):
-            columns, kinds = [], []
-            for kind, pack in held.pop(part):
-                delta, *more = unpacked(pack, 6)
-                columns.append((np.cumsum(delta), *more))
-                kinds.append(np.full(len(delta), kind, np.int8))
-            row, a, b, n, own_a, own_b = (np.concatenate(x) for x in zip(*columns, strict=True))
-            kind = np.concatenate(kinds)
-            del columns, kinds
-            key = bigram_key(a, b)
-            order = np.argsort(key)
-            key = key[order]
-            first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-            added = np.add.reduceat(np.where(kind == SCORED, 0, n)[order], first)
-            both = np.empty(len(key), np.int64)
-            both[order] = np.repeat(added, np.diff(first, append=len(key)))
-            del key, order, first, added
-            if (kind == COUNTED).any():
-                scored = kind != COUNTED
-                row, a, b, n, both, own_a, own_b = (c[scored] for c in (row, a, b, n, both, own_a, own_b))
-            both = both - n if own else both
-            seen = both > 0
-            entry, less, times = np.where(seen, a, b), np.where(seen, own_a, own_b), np.where(seen, -n, n)
-            del a, b, own_a, own_b
-            log = n * np.where(seen, nano_log(np.maximum(both, 1)), nano_log(alpha))
-            rare = entry < 0
-            if rare.any():
-                yield waiting(*(c[rare] for c in (entry, row, less, times)))
-            log += np.where(rare, 0, times * nano_log(np.maximum(counts[np.maximum(entry, 0)] - less, 1)))
-            sums.add(row, n, np.where(seen, 0, n), log)
-            if sums.size >= HELD:
-                yield summed()
+            yield from judged(held.pop(part))
         if sums.size:
             yield summed()
 

@@ -266,6 +266,61 @@ def test_scores_under_another_corpus(spark):
     assert backoff_lm.score(docs, documents(spark, [])).count() == 3
 
 
+class Here:
+    """A data frame's and a context's place, so that a task's function runs in this process."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_part_is_worked_on_in_pieces(monkeypatch):
+    """What a task holds for each line is bounded, the sums are the same in pieces of any length."""
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    r, n, size = np.random.default_rng(1), 300, 2700
+    packs = []
+    for i in range(n):
+        row = np.sort(r.integers(i * 800, i * 800 + 800, size))
+        a, b = (np.where(r.random(size) < 0.02, -1 - x, x) for x in (r.zipf(1.3, size) % 10_000 for _ in range(2)))
+        packs.append(backoff_lm.packed([np.diff(row, prepend=0), a, b, *(r.integers(lo, 5, size) for lo in (1, 0, 0))]))
+    kinds = ([backoff_lm.ALL] * 8 + [backoff_lm.SCORED, backoff_lm.COUNTED]) * (n // 10)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(kinds, pa.int32()), pa.array(packs, pa.binary())], ["part", "kind", "pack"])
+    run = backoff_lm.looked_up(Here(), list(range(10, 10_010)), True, 0.4, 5)
+
+    def results():
+        sums, waits = backoff_lm.Sums(1), Counter()
+        for out in run(iter([batch])):
+            for entry, row, x, pack in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                if pack is None:
+                    waits[entry, row] += (x & 0xFFFFFFFF) - (1 << 31)  # times
+                else:
+                    sums.add_pack(pack)
+        return [x.tolist() for x in sums.take()], {k: v for k, v in waits.items() if v}
+
+    found = []
+    for piece in (10**9, 5_000):
+        monkeypatch.setattr(backoff_lm, "PIECE", piece, raising=False)
+        found.append(results())
+    assert found[0] == found[1] and len(found[0][0][0]) > 100_000 and found[0][1]
+    monkeypatch.undo()
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        del out
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n * size
+
+
 # Fingerprints
 
 
