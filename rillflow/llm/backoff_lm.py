@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, mix64, parts
+from rillflow.llm.common import cut, lean, mix64, parts
 
 VOCABULARY = 100_000  # words with a short entry: what is broadcast has this bound
 ALPHA = 0.4
@@ -75,7 +75,7 @@ def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") ->
                 count = Counter()
         yield batch()
 
-    partial = corpus.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "word binary, n long")
+    partial = corpus.select(F.col(text).cast("binary").alias("text")).mapInArrow(lean(run), "word binary, n long")
     counts = cut(partial.groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.where(F.length("word") > 0).agg(F.sum("n")).first()[0] or 0
     texts = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
@@ -226,7 +226,7 @@ def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: i
             yield flush(held)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "part int, kind int, pack binary")
+    return rows.mapInArrow(lean(run), "part int, kind int, pack binary")
 
 
 def nano_log(x):
@@ -350,7 +350,7 @@ def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float, ta
         if sums.size:
             yield summed()
 
-    return packs.mapInArrow(run, "entry long, row long, x long, pack binary")
+    return packs.mapInArrow(lean(run), "entry long, row long, x long, pack binary")
 
 
 def regrouped(found: DataFrame, targets: int) -> DataFrame:
@@ -377,7 +377,7 @@ def regrouped(found: DataFrame, targets: int) -> DataFrame:
         if sums.size:
             yield out()
 
-    return found.mapInArrow(run, "target int, pack binary")
+    return found.mapInArrow(lean(run), "target int, pack binary")
 
 
 def finished(packs: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def finished(packs: DataFrame) -> DataFrame:
             _, n, back, log, ids, some = sums.take()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=some == 0), *(pa.array(c, pa.int64()) for c in (n, back, log))], ["doc_id", "n_words", "back", "log"])
 
-    return packs.mapInArrow(run, "doc_id long, n_words long, back long, log long")
+    return packs.mapInArrow(lean(run), "doc_id long, n_words long, back long, log long")
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, short: int = VOCABULARY) -> DataFrame:

@@ -266,6 +266,26 @@ def test_scores_under_another_corpus(spark):
     assert backoff_lm.score(docs, documents(spark, [])).count() == 3
 
 
+def test_tasks_give_memory_back():
+    import os
+
+    import numpy as np
+
+    from rillflow.llm.common import lean
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+    last = []
+
+    def run(batches):
+        some = [np.ones(6_000) for _ in range(4_000)]  # 192 MB, all but the last freed, which keeps the heap from shrinking
+        last.append(some[-1])
+        yield from batches
+
+    before = held()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() - before < 60
+
+
 class Here:
     """A data frame's and a context's place, so that a task's function runs in this process."""
 
