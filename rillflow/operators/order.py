@@ -32,11 +32,17 @@ def limit(df: DataFrame, count: int, offset: int = 0) -> DataFrame:
     return out.limit(count) if count >= 0 else out
 
 
-def top_k(df: DataFrame, k: int, order: tuple[str, ...], partition: tuple[str, ...] = ()) -> DataFrame:
+def top_k(df: DataFrame, k: int, order: tuple[str, ...], partition: tuple[str, ...] = (), offset: int = 0) -> DataFrame:
     """Without a partition this is one bounded take from each task; with one, the
-    engine keeps at most k rows of each partition before the shuffle."""
+    engine keeps at most k rows of each partition before the shuffle. The limit and
+    offset stand right over the sort: a shuffle between them keeps no order. A
+    negative k without a partition is no limit."""
+    if not partition and k < 0:
+        rows = expand(df)
+        return sort(rows.exceptAll(sort(rows, order).limit(offset)) if offset else rows, order)
     if not partition:
-        return sort(expand(df), order).limit(k)
+        rows = sort(expand(df), order)
+        return (rows.offset(offset) if offset else rows).limit(k)
     over = f"row_number() over (partition by {_list(map(quoted, partition))} order by {_list(order)})"
     return expand(df).withColumn("__rank", F.expr(over)).where(F.col("__rank") <= k).drop("__rank")
 

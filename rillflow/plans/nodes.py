@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, fields, is_dataclass
+from dataclasses import dataclass, field, fields, is_dataclass
 
 AGGREGATES = ("sum", "count", "avg", "min", "max")
 
@@ -13,7 +13,8 @@ def _text(value) -> str:
     if isinstance(value, tuple):
         return "(" + ",".join(map(_text, value)) + ")"
     if is_dataclass(value):
-        return f"{type(value).__name__}({','.join(_text(getattr(value, f.name)) for f in fields(value))})"
+        named = [f for f in fields(value) if not f.metadata.get("later") or getattr(value, f.name) != f.default]  # keys stay as they were
+        return f"{type(value).__name__}({','.join(_text(getattr(value, f.name)) for f in named)})"
     if callable(value):
         return f"{value.__module__}.{value.__qualname__}#{getattr(value, 'version', 0)}"
     return repr(value)
@@ -182,9 +183,11 @@ class Limit(Node):
 
 @dataclass(frozen=True)
 class TopK(Node):
-    """The first k rows by order, of each partition if there are any."""
+    """The first k rows by order (all, if k is negative), of each partition if there
+    are any; without a partition, after the first offset rows."""
 
     input: Node
     k: int
     order: tuple[str, ...]
     partition: tuple[str, ...] = ()
+    offset: int = field(default=0, metadata={"later": True})

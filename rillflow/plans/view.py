@@ -38,7 +38,7 @@ def unary(node: N.Node, df: DataFrame) -> DataFrame:
         case N.Limit():
             return order.limit(df, node.count, node.offset)
         case N.TopK():
-            return order.top_k(df, node.k, node.order, node.partition)
+            return order.top_k(df, node.k, node.order, node.partition, node.offset)
     raise TypeError(f"no operator for {type(node).__name__}")
 
 
@@ -66,6 +66,8 @@ def compile_view(plan: N.Node, tables: dict[str, DataFrame]) -> DataFrame:
         if plan.name not in tables:
             raise KeyError(f"unknown table {plan.name}")
         return scan(plan, tables[plan.name])
+    if isinstance(plan, N.Limit) and isinstance(plan.input, N.Sort):  # rows in between would lose the order
+        plan = N.TopK(plan.input.input, plan.count, plan.input.order, offset=plan.offset)
     inputs = [compile_view(i, tables) for i in plan.inputs]
     return unary(plan, *inputs) if len(inputs) == 1 else binary(plan, *inputs)
 

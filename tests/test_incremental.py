@@ -6,6 +6,7 @@ import pytest
 
 from rillflow.functions.zset import Underflow, consolidate, union
 from rillflow.plans import nodes as N
+from rillflow.plans.sql import plan
 from rillflow.plans.view import view
 from rillflow.session import cut
 from rillflow.streaming import state
@@ -153,6 +154,20 @@ def test_plan_nodes(spark):
     assert view(N.Limit(N.Sort(N.Scan("t"), ("k desc",)), 2, 1), {"t": t}).count() == 2
 
 
+@pytest.mark.parametrize("clause,want", [("limit 2 offset 1", [4, 3]), ("limit 2", [5, 4]), ("offset 3", [2, 1]), ("limit 0 offset 1", [])])
+def test_limit_and_offset_keep_the_order(spark, tmp_path, clause, want):
+    text = f"select v from t order by v desc {clause}"
+    rows = spark.createDataFrame([(x,) for x in (3, 1, 5, 2, 4)], "v long").repartition(4)
+    out = view(plan(text), {"t": rows})
+    assert [x for x, in out.collect()] == want
+    if want and "limit" in clause:  # a limit that is apart from its sort gets its rows by a shuffle, in any order
+        assert "TakeOrderedAndProject" in out._jdf.queryExecution().executedPlan().toString()
+    q = IncrementalQuery(spark, text, {"t": rows.schema}, str(tmp_path / "q"))
+    batch = lambda *x: spark.createDataFrame(list(x), "v long, __count long")
+    outs = [cut(q.tick({"t": batch(*x)})) for x in ([(3, 1), (1, 1), (9, 1)], [(5, 1), (2, 1), (4, 1), (9, -1)])]
+    assert bag(union(*outs)) == sorted((f"({x},)", 1) for x in want)
+
+
 def middle(pdf):
     import pandas as pd
 
