@@ -20,7 +20,10 @@ the sums go to each of these parts.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from struct import Struct
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,15 @@ from rillflow.llm.common import cut, lean, mix64, parts
 VOCABULARY = 100_000  # words with a short entry: what is broadcast has this bound
 ALPHA = 0.4
 START, FIRST = 0, 1  # entries: before the first word, the first word's
-HOT = 4  # a bigram that might fill as many parts is spread
+HOT = 4  # a bigram that might fill as many thirds of a part is spread
 SEED, HIGH = 42, -(1 << 63)  # hashed entries are negative
-PACK = 400_000  # words in packs at a time
+PACK = 800_000  # words in packs at a time; there is a pack for each part
 PIECE = 200_000  # lines of a part that are worked on at a time
+ROUND = 5  # pieces that packs are read for at a time
 HELD = 1_000_000  # lines of row sums that a task holds
+T = TypeVar("T")
+HEAD = Struct("<Iq")  # a pack's lines, the first row
+CODEC = pa.Codec("zstd")
 ALL, SCORED, COUNTED, ROWS = 0, 1, 2, 3  # packs: bigrams to count and score, to score, to count; rows with their ids
 
 
@@ -95,22 +102,67 @@ def vocabulary(corpus: DataFrame, size: int = VOCABULARY, text: str = "text") ->
     return sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0])), total, texts, rare
 
 
+def packs_of(columns: Iterable[np.ndarray], edges: list[int]) -> list[bytes]:
+    """Columns of one length, cut at the edges, as bytes: of each cut its length, the
+    first value of the first column (which is kept as differences), and like bytes of
+    the numbers together; planes of bytes that are zero in all cuts are left out. A cut
+    is compressed as one, as there may be very many short ones."""
+    starts, planes, some = np.array(edges[:-1], np.int64), [], []
+    for i, c in enumerate(columns):
+        if i == 0:
+            leads = c[starts].tolist()
+            c = np.diff(c, prepend=0)
+            c[starts] = 0
+        split = np.ascontiguousarray(c.astype("<i8", copy=False)).view(np.uint8).reshape(-1, 8)
+        used = [j for j in range(8) if split[:, j].any()]
+        planes += [split[:, j].copy() for j in used]
+        some.append(sum(1 << j for j in used))
+    whole = np.stack(planes) if planes else np.zeros((0, edges[-1]), np.uint8)
+    return [HEAD.pack(hi - lo, lead) + bytes(some) + CODEC.compress(whole[:, lo:hi].tobytes(), asbytes=True) for lo, hi, lead in zip(edges, edges[1:], leads, strict=False)]
+
+
 def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of one length as bytes: like bytes of the numbers stand together, each
-    such plane compressed by itself and left out if it is zero."""
-    planes = np.concatenate([np.ascontiguousarray(c.astype("<i8")).view(np.uint8).reshape(-1, 8).T for c in columns])
-    packs = [pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True) if x.any() else b"" for x in planes]
-    return np.array([len(columns[0]), *map(len, packs)], "<u4").tobytes() + b"".join(packs)
+    """One pack; the first column has differences already."""
+    return packs_of([np.cumsum(columns[0]), *columns[1:]], [0, len(columns[0])])[0]
+
+
+def size_of(pack: bytes) -> int:
+    return HEAD.unpack_from(pack)[0]
+
+
+@cache
+def used_planes(some: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(some, np.uint8), bitorder="little"))
+
 
+def unpacked(packs: list[bytes], n_columns: int) -> list[np.ndarray]:
+    """The columns of all packs, one after the other."""
+    heads = [HEAD.unpack_from(x) for x in packs]
+    sizes = np.array([n for n, _ in heads], np.int64)
+    ends = np.cumsum(sizes)
+    planes = np.zeros((8 * n_columns, int(ends[-1])), np.uint8)
+    for pack, (n, _), end in zip(packs, heads, ends.tolist(), strict=True):
+        used = used_planes(pack[HEAD.size : HEAD.size + n_columns])
+        if len(used):
+            planes[used, end - n : end] = np.frombuffer(CODEC.decompress(pack[HEAD.size + n_columns :], len(used) * n, asbytes=True), np.uint8).reshape(len(used), n)
+    lead, *rest = (np.ascontiguousarray(c.T).view("<i8").ravel() for c in planes.reshape(n_columns, 8, -1))
+    del planes
+    lead = np.cumsum(lead)
+    lead += np.repeat(np.array([x for _, x in heads], np.int64) - lead[ends - sizes], sizes)
+    return [lead, *rest]
 
-def unpacked(pack: bytes, n_columns: int) -> list[np.ndarray]:
-    size, *lengths = np.frombuffer(pack, "<u4", 1 + 8 * n_columns).tolist()
-    planes, at = np.zeros((8 * n_columns, size), np.uint8), 4 + 32 * n_columns
-    for x, n in zip(planes, lengths, strict=True):
-        if n:
-            x[:] = np.frombuffer(pa.decompress(pack[at : at + n], size, codec="zstd", asbytes=True), np.uint8)
-            at += n
-    return [np.ascontiguousarray(c.T).view("<i8").ravel() for c in planes.reshape(n_columns, 8, size)]
+
+def in_groups(packs: Iterable[T], size: Callable[[T], int]) -> Iterator[list[T]]:
+    """Packs, as many as have some PIECE // 4 lines together, as packs may be short."""
+    group, lines = [], 0
+    for x in packs:
+        group.append(x)
+        lines += size(x)
+        if lines >= PIECE // 4:
+            yield group
+            group, lines = [], 0
+    if group:
+        yield group
 
 
 def bigram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,25 +173,23 @@ def bigram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def pieces(packs: list[tuple[int, bytes]]) -> Iterator[list[np.ndarray]]:
     """(row, first entry, second entry, n, the row's count of either, kind) of the
     lines in packs, which are used up: some PIECE lines at a time, those of a bigram
-    together. Lines that wait are there once."""
-    some = 1 + sum(int.from_bytes(x[:4], "little") for _, x in packs) // PIECE
-    found = [[] for _ in range(some)]
-    while packs:
-        columns, size = [], 0
-        while packs and size < PIECE // 4:  # packs may be short
-            kind, pack = packs.pop()
-            delta, a, b, *small = unpacked(pack, 6)  # n and own counts are of one task's words at most
-            columns.append((np.cumsum(delta), a, b, *(c.astype(np.int32) for c in small), np.full(len(a), kind, np.int8)))
-            size += len(a)
-        columns = [np.concatenate(x) for x in zip(*columns, strict=True)]
-        at = (bigram_key(*columns[1:3]) & np.uint64(0xFFFFFFFF)) * np.uint64(some) >> np.uint64(32)  # the part is of the key's other half
-        for i, x in enumerate(found):
-            one = at == i
-            x.append([c[one] for c in columns])
-    while found:
-        row, a, b, n, own_a, own_b, kind = (np.concatenate(x) for x in zip(*found.pop(), strict=True))
-        if len(row):
-            yield [row, a, b, *(c.astype(np.int64) for c in (n, own_a, own_b)), kind]
+    together. Lines that wait are there once, for ROUND pieces at a time."""
+    some = 1 + sum(size_of(x) for _, x in packs) // PIECE
+    for lo in range(0, some, ROUND):
+        found = [[] for _ in range(lo, min(lo + ROUND, some))]
+        taken = iter(packs) if lo + ROUND < some else iter(lambda: packs.pop() if packs else None, None)
+        for group in in_groups(taken, lambda x: size_of(x[1])):
+            row, a, b, *small = unpacked([x for _, x in group], 6)  # n and own counts are of one task's words at most
+            kind = np.repeat(np.array([k for k, _ in group], np.int8), [size_of(x) for _, x in group])
+            columns = [row, a, b, *(c.astype(np.int32) for c in small), kind]
+            at = (bigram_key(a, b) & np.uint64(0xFFFFFFFF)) * np.uint64(some) >> np.uint64(32)  # the part is of the key's other half
+            for i, x in enumerate(found, lo):
+                one = np.flatnonzero(at == i)
+                x.append([c[one] for c in columns])
+        while found:
+            row, a, b, n, own_a, own_b, kind = (np.concatenate(x) for x in zip(*found.pop(), strict=True))
+            if len(row):
+                yield [row, a, b, *(c.astype(np.int64) for c in (n, own_a, own_b)), kind]
 
 
 def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: int, own: bool, kind: int, n_packs: int, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -157,7 +207,7 @@ def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: i
                 return hashed(word)
 
         number = Entries(known).__getitem__
-        widest = counts * n_packs // (HOT * max(total, 1)) + 1  # parts that a word's bigrams need
+        widest = counts * n_packs * 3 // (HOT * max(total, 1)) + 1  # parts that a word's bigrams need
 
         def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """In how many parts a bigram is."""
@@ -165,52 +215,56 @@ def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: i
 
         def flush(held: list[tuple[int, int | None, np.ndarray]]) -> pa.RecordBatch:
             at, kinds, packs = [], [], []
+            rows = np.array([r for r, _, _ in held], np.int64)
 
-            def deal(kind_: int, part, row, *columns) -> None:
-                order = np.lexsort((row, part))
-                part, row, *columns = (c[order] for c in (part, row, *columns))
+            def deal(kind_: int, chosen, part, row, *columns) -> None:
+                """The chosen lines; row: places in rows."""
+                chosen = chosen[np.argsort(part[chosen] * len(rows) + row[chosen], kind="stable")]
+                part = part[chosen]
                 edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    if hi > lo:
-                        at.append(int(part[lo]))
-                        kinds.append(kind_)
-                        packs.append(packed([np.diff(row[lo:hi], prepend=0), *[c[lo:hi] for c in columns]]))
+                if len(part):
+                    at.extend(part[edges[:-1]].tolist())
+                    kinds.extend([kind_] * (len(edges) - 1))
+                    packs.extend(packs_of((c[chosen] if i else rows[c[chosen]] for i, c in enumerate((row, *columns))), edges))
 
             if kind != COUNTED:
-                rows = [np.array([r for r, _, _ in held]), np.array([i or 0 for _, i, _ in held]), np.array([i is not None for _, i, _ in held])]
-                at, kinds, packs = [held[0][0] % n_packs], [ROWS], [packed(rows)]
-            row = np.repeat(np.array([r for r, _, _ in held], np.int64), [len(x) - 1 for _, _, x in held])
+                ids = [np.array([i or 0 for _, i, _ in held]), np.array([i is not None for _, i, _ in held])]
+                at, kinds, packs = [held[0][0] % n_packs], [ROWS], packs_of([rows, *ids], [0, len(rows)])
+            row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) - 1 for _, _, x in held])
             if len(row):
                 a = np.concatenate([x[:-1] for _, _, x in held])
                 b = np.concatenate([x[1:] for _, _, x in held])
-                times = [np.zeros(len(x), np.int64) for _, _, x in held]
+                times = [np.zeros(len(x), np.int32) for _, _, x in held]
                 if own:
                     for t, (_, _, x) in zip(times, held, strict=True):
                         _, back, n = np.unique(x, return_inverse=True, return_counts=True)
                         t[:] = n[back]
                 own_a, own_b = np.concatenate([t[:-1] for t in times]), np.concatenate([t[1:] for t in times])
+                del times
                 key = bigram_key(a, b)
                 order = np.argsort(key, kind="stable")  # rows ascend within a key
-                key, row, a, b, own_a, own_b = (c[order] for c in (key, row, a, b, own_a, own_b))
+                key, row = key[order], row[order]
                 first = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(row, prepend=-1) != 0))
-                n = np.diff(first, append=len(key))
-                key, row, a, b, own_a, own_b = (c[first] for c in (key, row, a, b, own_a, own_b))
+                n = np.diff(first, append=len(key)).astype(np.int32)
+                key, row, order = key[first], row[first], order[first]
+                a, b, own_a, own_b = a[order], b[order], own_a[order], own_b[order]
+                del order, first, held[:]
                 part = ((key >> np.uint64(32)) * np.uint64(n_packs) >> np.uint64(32)).astype(np.int64)
                 wide = spread(a, b)
-                hot = wide > 1
-                deal(kind, part[~hot], *(c[~hot] for c in (row, a, b, n, own_a, own_b)))
-                if hot.any():
+                hot = np.flatnonzero(wide > 1)
+                deal(kind, np.flatnonzero(wide == 1), part, row, a, b, n, own_a, own_b)
+                if len(hot):
                     key, part, wide, row, a, b, n, own_a, own_b = (c[hot] for c in (key, part, wide, row, a, b, n, own_a, own_b))
                     if kind != COUNTED:
-                        salt = (mix64(row.view(np.uint64)) % wide.view(np.uint64)).view(np.int64)
-                        deal(SCORED, (part + salt) % n_packs, row, a, b, n, own_a, own_b)
+                        salt = (mix64(rows[row].view(np.uint64)) % wide.view(np.uint64)).view(np.int64)
+                        deal(SCORED, np.arange(len(row)), (part + salt) % n_packs, row, a, b, n, own_a, own_b)
                     if kind != SCORED:
                         first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-                        sums = np.add.reduceat(n, first)
+                        sums = np.add.reduceat(n.astype(np.int64), first)
                         part, wide, a, b = part[first], wide[first], a[first], b[first]
                         copy = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-                        zero = np.zeros(len(copy), np.int64)
-                        deal(COUNTED, (np.repeat(part, wide) + copy) % n_packs, zero, np.repeat(a, wide), np.repeat(b, wide), np.repeat(sums, wide), zero, zero)
+                        zero = np.zeros(len(copy), np.int32)
+                        deal(COUNTED, np.arange(len(copy)), (np.repeat(part, wide) + copy) % n_packs, zero, np.repeat(a, wide), np.repeat(b, wide), np.repeat(sums, wide), zero, zero)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array(packs, pa.binary())], ["part", "kind", "pack"])
 
         held, size = [], 0
@@ -229,11 +283,6 @@ def bigrams(docs: DataFrame, entries: list[bytes], unigrams: list[int], total: i
     return rows.mapInArrow(lean(run), "part int, kind int, pack binary")
 
 
-def nano_log(x):
-    """The logarithm in units of 1e-9, rounded."""
-    return np.rint(np.log(x) * 1e9).astype(np.int64)
-
-
 class Sums:
     """Sums by row: (n words, of which `back` backed off, log, doc_id, 1 if it has one;
     the last two in one line of a row only). Taken out as packs for as many targets, a
@@ -250,9 +299,8 @@ class Sums:
             self.held = [tuple(self.take())]
             self.size = len(self.held[0][0])
 
-    def add_pack(self, pack: bytes) -> None:
-        delta, *more = unpacked(pack, 6)
-        self.add(np.cumsum(delta), *more)
+    def add_pack(self, *packs: bytes) -> None:
+        self.add(*unpacked(list(packs), 6))
 
     def take(self) -> list[np.ndarray]:
         columns = [list(x) for x in zip(*self.held, strict=True)]
@@ -275,9 +323,10 @@ class Sums:
         target = (mix64((row >> 10).view(np.uint64)) % np.uint64(self.targets)).view(np.int64)
         order = np.lexsort((row, target))
         row, target = row[order], target[order]
+        if not len(row):
+            return [], []
         edges = [0, *(np.flatnonzero(np.diff(target)) + 1).tolist(), len(row)]
-        spans = [(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo]
-        return [int(target[lo]) for lo, _ in spans], [packed([np.diff(row[lo:hi], prepend=0), *[c[order[lo:hi]] for c in sums]]) for lo, hi in spans]
+        return target[edges[:-1]].tolist(), packs_of((c[order] if i else c for i, c in enumerate((row, *sums))), edges)
 
 
 def nano_log(x):
@@ -340,7 +389,7 @@ def looked_up(packs: DataFrame, unigrams: list[int], own: bool, alpha: float, ta
         for batch in batches:
             for part, kind, pack in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind == ROWS:
-                    row, ids, some = unpacked(pack, 3)
+                    row, ids, some = unpacked([pack], 3)
                     zero = np.zeros(len(row), np.int64)
                     sums.add(row, zero, zero, zero, ids, some)
                 else:
@@ -366,8 +415,8 @@ def regrouped(found: DataFrame, targets: int) -> DataFrame:
 
         for batch in batches:
             whole = batch.column(2).is_valid()
-            for pack in batch.column(2).filter(whole).to_pylist():
-                sums.add_pack(pack)
+            for packs in in_groups(batch.column(2).filter(whole).to_pylist(), size_of):
+                sums.add_pack(*packs)
             single = batch.filter(pa.compute.invert(whole))
             row, log = (single.column(i).to_numpy() for i in range(2))
             zero = np.zeros(len(row), np.int64)
@@ -389,8 +438,8 @@ def finished(packs: DataFrame) -> DataFrame:
             for target, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held[target].append(pack)
         for target in list(held):
-            for pack in held.pop(target):
-                sums.add_pack(pack)
+            for packs in in_groups(held.pop(target), size_of):
+                sums.add_pack(*packs)
             _, n, back, log, ids, some = sums.take()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=some == 0), *(pa.array(c, pa.int64()) for c in (n, back, log))], ["doc_id", "n_words", "back", "log"])
 
@@ -417,15 +466,14 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
     entries = [w for w, _ in known]
     unigrams = [texts, *[n for _, n in known]]
     n_parts = parts(spark)
-    deal = lambda df, kind: bigrams(df, entries, unigrams, total, own, kind, 3 * n_parts)
+    deal = lambda df, kind: bigrams(df, entries, unigrams, total, own, kind, n_parts)
     packs = deal(docs, ALL) if own else deal(docs, SCORED).union(deal(corpus, COUNTED))
-    targets = 3 * n_parts
-    found = looked_up(packs.repartition(n_parts, "part"), unigrams, own, alpha, targets).join(rare, "entry", "left")
+    found = looked_up(packs.repartitionById(n_parts, "part"), unigrams, own, alpha, n_parts).join(rare, "entry", "left")
     # a word that the table lacks occurs once at most, and counts as once
     times, less = F.col("x").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31), F.shiftright("x", 32)
     log = times * F.rint(F.log(F.greatest(F.coalesce("count", F.lit(1)) - less, F.lit(1))) * 1e9).cast("long")
-    packs = regrouped(found.select("row", F.when(F.col("entry") < 0, log).otherwise(0).alias("log"), "pack"), targets)
-    summed = finished(packs.repartition(n_parts, "target")).withColumn("log", F.col("log").cast("decimal(19,0)"))
+    packs = regrouped(found.select("row", F.when(F.col("entry") < 0, log).otherwise(0).alias("log"), "pack"), n_parts)
+    summed = finished(packs.repartitionById(n_parts, "target")).withColumn("log", F.col("log").cast("decimal(19,0)"))
     words_ = F.greatest(F.lit(total) - (F.col("n_words") if own else F.lit(0)), F.lit(1))
     whole = F.col("log") - F.col("back").cast("decimal(18,0)") * F.rint(F.log(words_) * 1e9).cast("decimal(18,0)")
     scored = summed.withColumn("log_score", F.round((whole / F.lit(10**9).cast("decimal(10,0)")).cast("double"), 6))

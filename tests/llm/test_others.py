@@ -341,6 +341,41 @@ def test_a_part_is_worked_on_in_pieces(monkeypatch):
     assert peak < 100 * n * size
 
 
+def test_packs_stay_small_with_many_parts(spark):
+    """Each task makes a pack for each part, and the parts grow with the input: what a
+    task writes must not grow with them, nor may a line be lost."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Docs(Here):
+        def select(self, *_):
+            return self
+
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.2, 500) % 50_000) for _ in range(800)]
+    count = Counter(w for t in texts for w in t.encode().split())
+    known = count.most_common(1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5, 805)), pa.array(range(800)), pa.array([t.encode() for t in texts])], ["row", "doc_id", "text"])
+    size, found = {}, {}
+    for n in (30, 2000):
+        packs = backoff_lm.bigrams(Docs(), [w for w, _ in known], [800, *[c for _, c in known]], sum(count.values()), True, backoff_lm.ALL, n)
+        out = pa.Table.from_batches(packs(iter([batch])))
+        assert max(out["part"].to_pylist()) < n
+        size[n] = sum(map(len, out["pack"].to_pylist()))
+        waits, sums = Counter(), backoff_lm.Sums(1)
+        for lines in backoff_lm.looked_up(Here(), [800, *[c for _, c in known]], True, 0.4, n)(iter(out.combine_chunks().to_batches())):
+            for entry, row, x, pack in zip(*(c.to_pylist() for c in lines.columns), strict=True):
+                if pack is None:
+                    waits[entry, row] += (x & 0xFFFFFFFF) - (1 << 31)
+                else:
+                    sums.add_pack(pack)
+        found[n] = [x.tolist() for x in sums.take()], {k: v for k, v in waits.items() if v}
+    assert found[30] == found[2000] and sum(found[30][0][1]) == 400_000
+    assert size[2000] < 1.5 * size[30]
+
+
 # Fingerprints
 
 
